@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup
+from tessera.llm import exact_dedup, quality
 
 QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_quality": quality.op8_quality,
 }
 ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
