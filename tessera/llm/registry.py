@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, quality
+from tessera.llm import exact_dedup, quality, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_quality": quality.op8_quality,
 }
