@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, minhash, packing, quality, toxicity
+from tessera.llm import exact_dedup, minhash, packing, quality, repeats, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_minhash": minhash.op4_minhash,
+    "op5_repeats": repeats.op5_repeats,
     "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_quality": quality.op8_quality,
