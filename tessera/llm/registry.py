@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, minhash, packing, quality, repeats, toxicity
+from tessera.llm import chat, exact_dedup, minhash, neighbours, packing, quality, repeats, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_chat": chat.op3_chat,
     "op4_minhash": minhash.op4_minhash,
     "op5_repeats": repeats.op5_repeats,
     "op6_packing": packing.op6_packing,
+    "op10_neighbours": neighbours.op10_neighbours,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_quality": quality.op8_quality,
 }
 ORACLES = {
+    "op3_chat": chat.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
 }
