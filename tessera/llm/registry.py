@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, exact_dedup, minhash, neighbours, packing, quality, repeats, toxicity
+from tessera.llm import chat, exact_dedup, minhash, mixing, neighbours, packing, quality, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_mixing": mixing.op2_mixing,
     "op3_chat": chat.op3_chat,
     "op4_minhash": minhash.op4_minhash,
     "op5_repeats": repeats.op5_repeats,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_neighbours": neighbours.op10_neighbours,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_quality": quality.op8_quality,
+    "op9_secrets": secrets.op9_secrets,
 }
 ORACLES = {
     "op3_chat": chat.ORACLE_SQL,
