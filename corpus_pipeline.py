@@ -1,8 +1,67 @@
-"""The corpus pipeline."""
+"""A corpus from raw documents to training sequences, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all of ``docs`` and returns a DataFrame; ``run``
+writes it as Parquet and rereads it as the next stage's ``docs``.  All but the last return the
+columns of ``documents``.
+
+1. quality      documents that the compression classifier rejects go
+2. exact        of equal texts, the row with the largest id stays
+3. near         of linked near-duplicates, the document with the smallest id stays
+4. mix          sources get their temperature weights by whole and part repetition; the budget is the
+                least that keeps every document once
+5. pack         sequences of at most 1024 tokens
+
+Defined cases are those of the operators; besides, rows without id stay in all stages, rows that
+repeat an id are treated alike, and an empty table passes through as an empty one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import table
+from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.minhash import near_dedup
+from tessera.llm.mixing import mix
+from tessera.llm.packing import pack
+from tessera.llm.quality import is_training, keep_good, train_quality
+from tessera.plans.scratch import materialize
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs, train_quality(docs, table(spark, sf_dir, "labels"), is_training()))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_sha"))
+    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return docs.join(materialize(kept, "pipeline-exact"), docs.doc_id.eqNullSafe(F.col("kept_id")) & (sha == F.col("kept_sha")), "left_semi")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = near_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(materialize(kept, "pipeline-near"), docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    copies = mix(docs, whole=True).groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("copies"))
+    mixed = docs.join(materialize(copies, "pipeline-mix"), docs.doc_id.eqNullSafe(F.col("mix_id")))
+    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mixing), ("pack", packing)]
+
+#: Training, bisection and column generation have no SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

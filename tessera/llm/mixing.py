@@ -38,16 +38,19 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def moments(shares: DataFrame, budget_over_total: float, exponents: list[float]) -> list[tuple[float, float]]:
-    """(entropy, most passes over any source) for each exponent; ``shares`` has a positive ``p`` for each source."""
+def moments(shares: DataFrame, budget_over_total: float | None, exponents: list[float]) -> list[tuple[float, float]]:
+    """(entropy, most passes over any source) for each exponent; ``shares`` has a positive ``p`` for each source.
+
+    Without a budget every source is passed over once at least, so passes are relative to the fewest.
+    """
     a = F.explode(F.array(*[F.lit(float(x)) for x in exponents]))
     rows = shares.select("p", a.alias("a")).withColumn("q", F.pow("p", F.col("a")))
-    got = rows.groupBy("a").agg(F.sum("q").alias("z"), F.sum(F.col("q") * F.col("a") * F.log("p")).alias("m"), F.max(F.col("q") / F.col("p")).alias("r")).collect()
-    by = {r.a: (math.log(r.z) - r.m / r.z, budget_over_total * r.r / r.z) for r in got}
+    got = rows.groupBy("a").agg(F.sum("q").alias("z"), F.sum(F.col("q") * F.col("a") * F.log("p")).alias("m"), F.max(F.col("q") / F.col("p")).alias("r"), F.min(F.col("q") / F.col("p")).alias("least")).collect()
+    by = {r.a: (math.log(r.z) - r.m / r.z, r.r / r.least if budget_over_total is None else budget_over_total * r.r / r.z) for r in got}
     return [by[float(x)] for x in exponents]
 
 
-def find_exponent(shares: DataFrame, budget_over_total: float, evenness: float, repeats: float) -> float:
+def find_exponent(shares: DataFrame, budget_over_total: float | None, evenness: float, repeats: float) -> float:
     """The exponent in 0..1; entropy falls and, with it, so do the passes over small sources as it grows."""
     greatest = math.log(max(1, shares.count()))
 
@@ -79,16 +82,23 @@ def mix(
     budget: float | None = None,
     seed: int = 1,
     tokens=word_count,
+    whole: bool = False,
 ) -> DataFrame:
-    """(id, source, n_tokens, weight, copies, block, place) for every row; the default budget is the corpus's tokens."""
+    """(id, source, n_tokens, weight, copies, block, place) for every row; the default budget is the corpus's tokens.
+
+    With ``whole`` the budget is the least that passes over every source once, so every row has a copy.
+    """
     rows = renamed(docs, id=id_col, source=source_col, text=text_col).withColumn("n_tokens", tokens(F.col("text"))).drop("text")
     rows = materialize(rows, "mix-rows")
     sources = materialize(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "mix-sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     budget = float(total if budget is None else budget)
     shares = materialize(sources.where("tokens > 0").withColumn("p", F.col("tokens") / F.lit(float(total or 1))), "mix-shares")
-    a = find_exponent(shares, budget / total, evenness, repeats) if total else 1.0
-    z = shares.agg(F.sum(F.pow("p", F.lit(a)))).first()[0] or 1.0
+    a = find_exponent(shares, None if whole else budget / total, evenness, repeats) if total else 1.0
+    z, least = shares.agg(F.sum(F.pow("p", F.lit(a))), F.min(F.pow("p", F.lit(a - 1)))).first()
+    z = z or 1.0
+    if whole and total:
+        budget = total * z / least
     weight = F.pow(F.col("tokens") / F.lit(float(total or 1)), F.lit(a)) / F.lit(float(z))
     passes = F.when(F.col("tokens") > 0, F.lit(budget) * weight / F.col("tokens")).otherwise(F.lit(1.0))
     aims = sources.select(

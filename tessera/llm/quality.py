@@ -136,6 +136,22 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     return renamed(docs, id=id_col, text=text_col).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, score double")
 
 
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, as they are, whose score is ``least`` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            at, raw = buffers(batch.column(place))
+            view = memoryview(raw)
+            x = evidence(m, (view[at[i] : at[i + 1]] for i in range(batch.num_rows)))
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(m.slope * x + m.offset, -30, 30))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train_quality(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS) -> Model:
     """Fit on the sample, then move the curve from the sample's class shares to those of all training labels."""
     sample = labelled_sample(docs, labels, "quality", train, rows, FIT_BYTES)
