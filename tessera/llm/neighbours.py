@@ -16,6 +16,7 @@ vector); vectors of another length are never compared; an empty table gives no r
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import renamed, table
 from tessera.plans.scratch import materialize
 
-DIMS = 8
-SURE = 0.99
-LEAF = 32
+DIMS = 16
+SURE = 0.98
+LEAF = 64
 #: Vectors of a block, and queries that meet it at a time.
 BLOCK, PART = 20_000, 50_000
 
@@ -50,6 +51,7 @@ def chi_square_quantile(p: float, dims: int) -> float:
     return hi
 
 
+@functools.lru_cache(maxsize=8)
 def projection(dim: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([10, dim])).standard_normal((dim, DIMS))
 
@@ -89,23 +91,28 @@ def search(tree: KdTree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray
     slack = 1e-9 * float(q @ q)
     seen_d, seen_id = np.zeros(0), np.zeros(0, np.int64)
     wait_at, wait_p = np.zeros(0, np.int64), np.zeros(0)
-    for n, leaf in enumerate(order):
-        rows = np.arange(tree.begin[leaf], tree.end[leaf])
+    done, some, reach = 0, 2, np.inf
+    while done < len(order):  # leaves open in growing numbers, nearest box first
+        opened = order[done : done + some]
+        done, some = done + some, 2 * some
+        rows = np.concatenate([np.arange(tree.begin[x], tree.end[x]) for x in opened])
         gap = tree.points[rows] - q
-        wait_at, wait_p = np.append(wait_at, rows), np.append(wait_p, (gap * gap).sum(axis=1))
-        horizon = bound[order[n + 1]] if n + 1 < len(order) else np.inf
-        ready = wait_p <= horizon  # nothing unopened is nearer in projection
+        wait_at, wait_p = np.append(wait_at, rows), np.append(wait_p, np.einsum("ij,ij->i", gap, gap))
+        horizon = bound[order[done]] if done < len(order) else np.inf
+        wanted = wait_p <= reach  # the test has ended the search before all others
+        ready = wanted & (wait_p <= horizon)  # nothing unopened is nearer in projection
         at = wait_at[ready]
-        wait_at, wait_p = wait_at[~ready], wait_p[~ready]
+        wait_at, wait_p = wait_at[wanted & ~ready], wait_p[wanted & ~ready]
         at = at[ids[at] != own]
         diff = vectors[at] - query
         seen_d, seen_id = np.append(seen_d, np.sqrt((diff * diff).sum(axis=1))), np.append(seen_id, ids[at])
         if len(seen_d) > k:
-            best = np.lexsort((seen_id, seen_d))[:k]
+            near = np.flatnonzero(seen_d <= np.partition(seen_d, k - 1)[k - 1])
+            best = near[np.lexsort((seen_id[near], seen_d[near]))[:k]]
             seen_d, seen_id = seen_d[best], seen_id[best]
         if len(seen_d) == k:
-            next_ = min(horizon, wait_p.min() if len(wait_p) else np.inf)
-            if next_ > limit * seen_d.max() ** 2 + slack:
+            reach = limit * seen_d.max() ** 2 + slack
+            if min(horizon, wait_p.min() if len(wait_p) else np.inf) > reach:
                 break
     best = np.lexsort((seen_id, seen_d))
     return [(float(seen_d[i]), int(seen_id[i])) for i in best]
