@@ -263,7 +263,7 @@ class TableSetSchema:
         out = [(f"{PARTITION}cell", self.cell_partitioning.expression(CELL, res))]
         names = list(dict.fromkeys(self.partition_by))
         if not names:
-            names = [n for n, c in sorted(self.columns.items()) if is_temporal(c.datatype) and c.kind != "h3index" and c.order_key_position is not None]
+            names = [n for n, c in sorted(self.columns.items()) if is_temporal(c.datatype) and c.kind != "h3index"]
             if len(names) > 1:
                 raise SchemaValidationError("several temporal columns could partition; name the columns with partition_by")
         for n in names:
