@@ -1,10 +1,466 @@
-"""Every query of the cell store, with its SQL twin."""
+"""Every query of the cell store over the driver's tables, with its SQL twin.
+
+The tables hold no cells, so cells are derived from dense integer keys in the same way on both
+sides: ``cell(k, R, b)`` has base cell b + k div 7^R and the base-7 digits of k.  Where it can, the SQL
+reaches its answer from the key instead of the cell's bits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import cells as C
+from tessera.operators.aggregate import aggregate_to, cascade
+from tessera.operators.compact import compact, uncompact
+from tessera.operators.dedupe import merge_rows
+from tessera.operators.traverse import select_traversal_resolution, traverse_tableset_area_of_interest
+from tessera.plans.query import TableSetQuery
+from tessera.plans.schema import BATCH, CELL, CellPartitioning, TableEngine, TableSetSchema, TableSetSchemaBuilder, TemporalPartitioning
+from tessera.plans.scratch import materialize
+from tessera.plans.tableset import find_tablesets
+from tessera.sources.store import CellStore, InsertOptions
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+DATABASE = "tessera_queries"
+FIRST = 25  # base cells 25-37 are hexagons
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+# --- cells from keys ------------------------------------------------------------
+
+
+def cell(key: str | Column, res: int, base: int = FIRST) -> Column:
+    k = (F.col(key) if isinstance(key, str) else key).cast("long")
+    out = F.lit((1 << 59) | (res << 52) | ((1 << 3 * (15 - res)) - 1)).bitwiseOR(F.shiftleft(F.lit(base) + F.call_function("div", k, F.lit(7**res).cast("long")), 45))
+    for i in range(1, res + 1):
+        out = out.bitwiseOR(F.shiftleft(F.call_function("div", k, F.lit(7 ** (res - i)).cast("long")) % 7, 3 * (15 - i)))
+    return out
+
+
+def cell_sql(key: str, res: int, base: int = FIRST) -> str:
+    parts = [f"{(1 << 59) | (res << 52) | ((1 << 3 * (15 - res)) - 1)}::BIGINT", f"(({base} + ({key}) // {7**res})::BIGINT << 45)"]
+    parts += [f"((({key}) // {7 ** (res - i)} % 7)::BIGINT << {3 * (15 - i)})" for i in range(1, res + 1)]
+    return "(" + " | ".join(parts) + ")"
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark, d) -> DataFrame:
+    return read(spark, d, "events").select(cell("event_id", 5).alias(CELL), "event_id", "value", "event_type")
+
+
+def lines(spark, d) -> DataFrame:
+    return read(spark, d, "lineitem").select(cell("l_orderkey", 6).alias(CELL), F.col("l_quantity").alias("quantity"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean event value cascaded from resolution 5 over 4 to 3, for the cells of one resolution-1 parent."""
+    out = cascade({5: events(spark, sf_dir).select(CELL, "value")}, [3, 4, 5], {"value": "average"})
+    return out[3].where(C.to_parent(CELL, 1) == _parent_of_key(0, 1)).select(CELL, F.round("value", 6).alias("value"))
+
+
+def _parent_of_key(k: int, res: int) -> int:
+    h = (1 << 59) | (res << 52) | ((FIRST + k // 7**res) << 45) | ((1 << 3 * (15 - res)) - 1)
+    for i in range(1, res + 1):
+        h |= (k // 7 ** (res - i) % 7) << 3 * (15 - i)
+    return h
+
+
+# --- index algebra --------------------------------------------------------------
+
+
+@query(f"SELECT event_id, {cell_sql('event_id', 5)} AS h3index, 5 AS resolution, (25 + event_id // 16807)::INTEGER AS base_cell, true AS valid, false AS pentagon FROM events")
+def cell_index_parts(spark, d):
+    e = events(spark, d)
+    return e.select("event_id", CELL, C.resolution(CELL).alias("resolution"), C.base_cell(CELL).alias("base_cell"), C.is_valid(CELL).alias("valid"), C.is_pentagon(CELL).alias("pentagon"))
+
+
+@query(f"SELECT event_id, {cell_sql('event_id // 7', 4)} AS parent_4, {cell_sql('event_id // 343', 2)} AS parent_2, {cell_sql('event_id // 16807', 0)} AS parent_0 FROM events")
+def cell_to_parent(spark, d):
+    return events(spark, d).select("event_id", *(C.to_parent(CELL, r).alias(f"parent_{r}") for r in (4, 2, 0)))
+
+
+@query(f"SELECT c_custkey, {cell_sql('c_custkey * 49 + j', 6)} AS child FROM customer, range(49) t(j)")
+def cell_to_children(spark, d):
+    return read(spark, d, "customer").select("c_custkey", F.explode(C.children(cell("c_custkey", 4), 6)).alias("child"))
+
+
+@query("""
+SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 49 WHEN s_suppkey = 1 THEN 41 ELSE 49 END::BIGINT AS n
+FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey = 1
+""")
+def cell_child_count(spark, d):
+    s = read(spark, d, "supplier").where("s_suppkey % 2 = 0 OR s_suppkey = 1")
+    h = F.when(F.col("s_suppkey") == 1, cell(F.lit(0), 3, 4)).otherwise(cell("s_suppkey", 3))
+    return s.select("s_suppkey", C.child_count(h, 5).alias("n"))
+
+
+@query(f"""
+SELECT DISTINCT {cell_sql('k', 4)} AS h3index FROM (
+    SELECT p_partkey AS k FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT p_partkey // 7 FROM part WHERE p_partkey % 3 = 1
+    UNION ALL SELECT (p_partkey // 7) * 7 + j FROM part, range(7) t(j) WHERE p_partkey % 3 = 2)
+""")
+def cell_change_resolution_mixed(spark, d):
+    p = read(spark, d, "part")
+    k, m = F.col("p_partkey"), F.col("p_partkey") % 3
+    h = F.when(m == 0, cell(k, 4)).when(m == 1, cell(k, 5)).otherwise(cell(F.call_function("div", k, F.lit(7).cast("long")), 3))
+    return C.change_resolution(p.select(h.alias(CELL)), 4)
+
+
+# --- aggregation ----------------------------------------------------------------
+
+
+def _one_step(spark, d, method, column, name):
+    e = events(spark, d).select(CELL, F.col(column).alias(name))
+    out = aggregate_to(e, 5, 4, {name: method})
+    return out.select(CELL, F.round(name, 6).alias(name)) if column == "value" else out
+
+
+@query(f"SELECT {cell_sql('k', 4)} AS h3index, round(v, 6) AS total FROM (SELECT event_id // 7 AS k, sum(value) AS v FROM events GROUP BY 1)")
+def agg_sum(spark, d):
+    return _one_step(spark, d, "sum", "value", "total")
+
+
+@query(f"SELECT {cell_sql('k', 4)} AS h3index, round(v, 6) AS low FROM (SELECT event_id // 7 AS k, min(value) AS v FROM events GROUP BY 1)")
+def agg_min(spark, d):
+    return _one_step(spark, d, "min", "value", "low")
+
+
+@query(f"SELECT {cell_sql('k', 4)} AS h3index, round(v, 6) AS high FROM (SELECT event_id // 7 AS k, max(value) AS v FROM events GROUP BY 1)")
+def agg_max(spark, d):
+    return _one_step(spark, d, "max", "value", "high")
+
+
+@query(f"SELECT {cell_sql('k', 4)} AS h3index, round(v, 6) AS mean FROM (SELECT event_id // 7 AS k, avg(value) AS v FROM events GROUP BY 1)")
+def agg_average(spark, d):
+    return _one_step(spark, d, "average", "value", "mean")
+
+
+@query(f"SELECT {cell_sql('k', 5)} AS h3index, round(v, 6) AS quantity FROM (SELECT l_orderkey // 7 AS k, sum(l_quantity) / 7 AS v FROM lineitem GROUP BY 1)")
+def agg_relative_to_cell_area(spark, d):
+    return aggregate_to(lines(spark, d), 6, 5, {"quantity": "relativetocellarea"}).select(CELL, F.round("quantity", 6).alias("quantity"))
+
+
+@query(f"""
+SELECT {cell_sql('k', 4)} AS h3index, CASE WHEN n = 1 THEN t END AS event_type
+FROM (SELECT event_id // 7 AS k, count(DISTINCT event_type) AS n, min(event_type) AS t FROM events GROUP BY 1)
+""")
+def agg_set_null_on_conflict(spark, d):
+    return _one_step(spark, d, "setnullonconflict", "event_type", "event_type")
+
+
+@query(f"SELECT {cell_sql('k', 4)} AS h3index, event_type, round(v, 6) AS value FROM (SELECT event_id // 7 AS k, event_type, max(value) AS v FROM events GROUP BY 1, 2)")
+def agg_group_keys(spark, d):
+    return aggregate_to(events(spark, d).select(CELL, "event_type", "value"), 5, 4, {"value": "max"}).select(CELL, "event_type", F.round("value", 6).alias("value"))
+
+
+@query(f"""
+WITH a AS (SELECT o_orderkey // 7 AS k, avg(o_totalprice) AS v FROM orders GROUP BY 1),
+     b AS (SELECT k // 7 AS k, avg(v) AS v FROM a GROUP BY 1),
+     c AS (SELECT k // 7 AS k, avg(v) AS v FROM b GROUP BY 1)
+SELECT {cell_sql('k', 5)} AS h3index, round(v, 4) AS price FROM a UNION ALL SELECT {cell_sql('k', 4)}, round(v, 4) FROM b UNION ALL SELECT {cell_sql('k', 3)}, round(v, 4) FROM c
+""")
+def agg_cascade_three_levels(spark, d):
+    o = read(spark, d, "orders").select(cell("o_orderkey", 6).alias(CELL), F.col("o_totalprice").alias("price"))
+    out = cascade({6: o}, [3, 4, 5, 6], {"price": "average"}, keep=lambda df, r: materialize(df, f"cascade-{r}"))
+    return out[5].unionByName(out[4]).unionByName(out[3]).select(CELL, F.round("price", 4).alias("price"))
+
+
+@query(f"""
+WITH s AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier WHERE s_suppkey < 343 AND NOT (s_suppkey = 1 OR s_suppkey BETWEEN 7 AND 13 OR s_suppkey BETWEEN 49 AND 97)),
+     g AS (SELECT k // 7 AS k, sum(v) / CASE WHEN k // 7 = 0 THEN 6 ELSE 7 END AS v FROM s GROUP BY k // 7)
+SELECT {cell_sql('k', 2, 4)} AS h3index, round(v, 6) AS balance FROM g
+""")
+def agg_pentagon_rta(spark, d):
+    s = read(spark, d, "supplier").where("s_suppkey < 343 AND NOT (s_suppkey = 1 OR s_suppkey BETWEEN 7 AND 13 OR s_suppkey BETWEEN 49 AND 97)")
+    rows = s.select(cell("s_suppkey", 3, 4).alias(CELL), F.col("s_acctbal").alias("balance"))
+    return aggregate_to(rows, 3, 2, {"balance": "relativetocellarea"}).select(CELL, F.round("balance", 6).alias("balance"))
+
+
+# --- compaction -----------------------------------------------------------------
+
+
+def _valued(spark, d) -> DataFrame:
+    return events(spark, d).select(CELL, F.call_function("div", F.col("event_id"), F.lit(2500).cast("long")).alias("v"))
+
+
+@query(f"""
+WITH l5 AS (SELECT event_id AS k, event_id // 2500 AS v FROM events),
+     f4 AS (SELECT k // 7 AS k, v FROM l5 GROUP BY k // 7, v HAVING count(DISTINCT k) = 7),
+     f3 AS (SELECT k // 7 AS k, v FROM f4 GROUP BY k // 7, v HAVING count(*) = 7),
+     f2 AS (SELECT k // 7 AS k, v FROM f3 GROUP BY k // 7, v HAVING count(*) = 7),
+     f1 AS (SELECT k // 7 AS k, v FROM f2 GROUP BY k // 7, v HAVING count(*) = 7),
+     f0 AS (SELECT k // 7 AS k, v FROM f1 GROUP BY k // 7, v HAVING count(*) = 7)
+SELECT {cell_sql('k', 5)} AS h3index, v FROM (SELECT DISTINCT k, v FROM l5) l WHERE NOT EXISTS (FROM f4 WHERE f4.k = l.k // 7 AND f4.v = l.v)
+UNION ALL SELECT {cell_sql('k', 4)}, v FROM f4 l WHERE NOT EXISTS (FROM f3 WHERE f3.k = l.k // 7 AND f3.v = l.v)
+UNION ALL SELECT {cell_sql('k', 3)}, v FROM f3 l WHERE NOT EXISTS (FROM f2 WHERE f2.k = l.k // 7 AND f2.v = l.v)
+UNION ALL SELECT {cell_sql('k', 2)}, v FROM f2 l WHERE NOT EXISTS (FROM f1 WHERE f1.k = l.k // 7 AND f1.v = l.v)
+UNION ALL SELECT {cell_sql('k', 1)}, v FROM f1 l WHERE NOT EXISTS (FROM f0 WHERE f0.k = l.k // 7 AND f0.v = l.v)
+UNION ALL SELECT {cell_sql('k', 0)}, v FROM f0
+""")
+def compact_cells(spark, d):
+    return compact(_valued(spark, d), 5)
+
+
+@query(f"SELECT {cell_sql('event_id', 5)} AS h3index, event_id // 2500 AS v FROM events")
+def uncompact_roundtrip(spark, d):
+    return uncompact(compact(_valued(spark, d), 5), 5)
+
+
+# --- tablesets ------------------------------------------------------------------
+
+
+def _with_tableset(spark, schema: Callable[[str], TableSetSchema], frames, use, options: InsertOptions | None = None) -> DataFrame:
+    """Insert the frames, run ``use``, keep its rows, drop the tableset."""
+    store = CellStore(spark, DATABASE, create_db=True)
+    s = schema(f"q{uuid.uuid4().hex[:12]}")
+    try:
+        for f in frames:
+            store.insert_h3dataframe_into_tableset(s, f, options)
+        return materialize(use(store, s), "query")
+    finally:
+        store.drop_tableset(s.name)
+
+
+def _orders_schema(name: str) -> TableSetSchema:
+    b = TableSetSchemaBuilder(name).h3_base_resolutions([4, 5, 6]).temporal_partitioning("1 year")
+    return b.add_aggregated_column("price", "Float64", "sum").add_column("day", "Date", order_key_position=0).build()
+
+
+def _orders(spark, d) -> DataFrame:
+    return read(spark, d, "orders").select(cell("o_orderkey", 6).alias(CELL), F.col("o_totalprice").alias("price"), F.to_date("o_orderdate").alias("day"))
+
+
+def _events_schema(name: str) -> TableSetSchema:
+    b = TableSetSchemaBuilder(name).h3_base_resolutions([3, 4, 5])
+    return b.add_aggregated_column("v", "Int64", "max").build()
+
+
+WANTED_6 = [_parent_of_key(k, 6) for k in (0, 5, 700, 1200, 14000, 99_999)]
+
+
+def _rounded(df):
+    return df.select(CELL, "day", F.round("price", 4).alias("price"))
+
+
+@query(f"SELECT {cell_sql('o_orderkey', 6)} AS h3index, o_orderdate::DATE AS day, round(o_totalprice, 4) AS price FROM orders WHERE o_orderkey IN (0, 5, 700, 1200, 14000, 99999)")
+def query_cells_base(spark, d):
+    return _with_tableset(spark, _orders_schema, [_orders(spark, d)], lambda st, s: _rounded(st.query_tableset_cells(s.name, TableSetQuery(), WANTED_6, 6)))
+
+
+@query(f"""
+WITH a AS (SELECT o_orderkey // 7 AS k, o_orderdate::DATE AS day, sum(o_totalprice) AS p FROM orders GROUP BY 1, 2),
+     b AS (SELECT k // 7 AS k, day, sum(p) AS p FROM a GROUP BY 1, 2)
+SELECT {cell_sql('k', 4)} AS h3index, day, round(p, 4) AS price FROM b WHERE k IN (0, 14, 24, 285, 2040)
+""")
+def query_cells_coarser(spark, d):
+    return _with_tableset(spark, _orders_schema, [_orders(spark, d)], lambda st, s: _rounded(st.query_tableset_cells(s.name, TableSetQuery(), WANTED_6, 4)))
+
+
+@query(f"""
+SELECT {cell_sql('o_orderkey', 6)} AS h3index, o_orderdate::DATE AS day, round(o_totalprice, 4) AS price FROM orders
+WHERE o_orderkey // 343 = 2 OR o_orderkey // 7 IN (10, 500, 99) OR o_orderkey IN (3, 4)
+""")
+def query_cells_mixed_input(spark, d):
+    want = [_parent_of_key(2, 3), _parent_of_key(10, 5), _parent_of_key(500, 5), _parent_of_key(99, 5), _parent_of_key(3, 6), _parent_of_key(4, 6), _parent_of_key(690, 6)]
+    return _with_tableset(spark, _orders_schema, [_orders(spark, d)], lambda st, s: _rounded(st.query_tableset_cells(s.name, TableSetQuery(), want, 6)))
+
+
+@query(f"SELECT {cell_sql('event_id', 5)} AS h3index, event_id // 2500 AS v FROM events WHERE event_id % 3 = 0")
+def query_cells_uncompacted(spark, d):
+    want = events(spark, d).where("event_id % 3 = 0").select(CELL)
+    return _with_tableset(spark, _events_schema, [_valued(spark, d)], lambda st, s: st.query_tableset_cells(s.name, TableSetQuery(), want, 5))
+
+
+@query(f"""
+WITH RECURSIVE w(k, r) AS (SELECT DISTINCT event_id, 5 FROM events WHERE event_id IN (0, 3000, 9999)),
+     l5 AS (SELECT event_id AS k, event_id // 2500 AS v FROM events),
+     f4 AS (SELECT k // 7 AS k, v FROM l5 GROUP BY k // 7, v HAVING count(DISTINCT k) = 7),
+     f3 AS (SELECT k // 7 AS k, v FROM f4 GROUP BY k // 7, v HAVING count(*) = 7),
+     f2 AS (SELECT k // 7 AS k, v FROM f3 GROUP BY k // 7, v HAVING count(*) = 7),
+     f1 AS (SELECT k // 7 AS k, v FROM f2 GROUP BY k // 7, v HAVING count(*) = 7),
+     f0 AS (SELECT k // 7 AS k, v FROM f1 GROUP BY k // 7, v HAVING count(*) = 7),
+     best AS (
+        SELECT w.k, coalesce((SELECT max(0) FROM f0 WHERE f0.k = w.k // 16807), (SELECT max(1) FROM f1 WHERE f1.k = w.k // 2401), (SELECT max(2) FROM f2 WHERE f2.k = w.k // 343),
+               (SELECT max(3) FROM f3 WHERE f3.k = w.k // 49), (SELECT max(4) FROM f4 WHERE f4.k = w.k // 7), 5) AS r, w.k // 2500 AS v FROM w)
+SELECT DISTINCT CASE r WHEN 0 THEN {cell_sql('k // 16807', 0)} WHEN 1 THEN {cell_sql('k // 2401', 1)} WHEN 2 THEN {cell_sql('k // 343', 2)}
+       WHEN 3 THEN {cell_sql('k // 49', 3)} WHEN 4 THEN {cell_sql('k // 7', 4)} ELSE {cell_sql('k', 5)} END AS h3index, v FROM best
+""")
+def query_cells_compacted_raw(spark, d):
+    want = [_parent_of_key(k, 5) for k in (0, 3000, 9999)]
+    return _with_tableset(spark, _events_schema, [_valued(spark, d)], lambda st, s: st.query_tableset_cells(s.name, TableSetQuery(), want, 5, do_uncompact=False))
+
+
+@query(f"SELECT {cell_sql('o_orderkey', 6)} AS h3index, round(o_totalprice / 2, 4) AS half FROM orders WHERE o_totalprice > 200000 AND o_orderkey // 2401 IN (0, 3)")
+def query_templated_filter(spark, d):
+    q = TableSetQuery.from_template("SELECT h3index, price / 2 AS half FROM <[table]> WHERE price > 200000 AND h3index IN <[h3indexes]>")
+    want = [_parent_of_key(0, 2), _parent_of_key(3, 2)]
+    return _with_tableset(spark, _orders_schema, [_orders(spark, d)], lambda st, s: st.query_tableset_cells(s.name, q, want, 6).select(CELL, F.round("half", 4).alias("half")))
+
+
+@query(f"""
+WITH base AS (
+    SELECT 5 AS r, count(*) AS n FROM (SELECT 1 FROM (SELECT event_id AS k, event_id // 2500 AS v FROM events) l WHERE NOT EXISTS (
+        SELECT 1 FROM (SELECT event_id // 7 AS k, event_id // 2500 AS v FROM events GROUP BY 1, 2 HAVING count(*) = 7) f WHERE f.k = l.k // 7 AND f.v = l.v)))
+SELECT 5 AS resolution, (SELECT n FROM base)::BIGINT AS stored, (SELECT count(*) FROM events)::BIGINT AS cells
+""")
+def tableset_stats(spark, d):
+    def use(st, s):
+        x = st.tableset_stats(s.name).where("resolution = 5")
+        return x.select("resolution", F.col("num_cells_stored_at_resolution").alias("stored"), F.col("num_cells").alias("cells"))
+
+    return _with_tableset(spark, _events_schema, [_valued(spark, d)], use)
+
+
+@query(f"""
+SELECT {cell_sql('k', 6)} AS h3index, day, round(max(p), 4) AS price
+FROM (SELECT o_orderkey AS k, o_orderdate::DATE AS day, o_totalprice + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS p FROM orders) WHERE k // 2401 = 0 GROUP BY k, day
+""")
+def insert_multi_batch_replacing(spark, d):
+    """The second batch writes half of the rows again with another price: the last batch stays."""
+    o = _orders(spark, d)
+    again = o.join(read(spark, d, "orders").where("o_orderkey % 2 = 0").select(cell("o_orderkey", 6).alias(CELL)).distinct(), CELL, "left_semi")
+    again = again.withColumn("price", F.col("price") + 1)
+    return _with_tableset(spark, _orders_schema, [o, again], lambda st, s: _rounded(st.query_tableset_cells(s.name, TableSetQuery(), [_parent_of_key(0, 2)], 6)))
+
+
+@query(f"""
+WITH m AS (SELECT event_id // 49 AS k, count(*) AS n, max(event_id // 2500) AS v FROM events GROUP BY 1)
+SELECT {cell_sql('k', 3)} AS traversal_cell, n, v FROM m
+""")
+def traverse_cells(spark, d):
+    def use(st, s):
+        area = events(spark, d).select(CELL)
+        t = traverse_tableset_area_of_interest(st, s.name, TableSetQuery(), area, 5)
+        return t.frame().groupBy("traversal_cell").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("v"))
+
+    return _with_tableset(spark, _events_schema, [_valued(spark, d)], use)
+
+
+@query(f"""
+WITH m AS (SELECT event_id // 49 AS k, count(*) AS n, max(event_id // 2500) AS v FROM events GROUP BY 1)
+SELECT {cell_sql('k', 3)} AS traversal_cell, n FROM m WHERE v >= 2
+""")
+def traverse_filtered(spark, d):
+    def use(st, s):
+        f = TableSetQuery.from_template("SELECT h3index FROM <[table]> WHERE v >= 2 AND h3index IN <[h3indexes]>")
+        t = traverse_tableset_area_of_interest(st, s.name, TableSetQuery(), events(spark, d).select(CELL), 5, filter_query=f)
+        return t.frame().groupBy("traversal_cell").agg(F.count(F.lit(1)).alias("n"))
+
+    return _with_tableset(spark, _events_schema, [_valued(spark, d)], use)
+
+
+@query("SELECT * FROM (VALUES (500, 4), (7, 6), (1, 7)) t(max_fetch, resolution)")
+def traverse_resolution(spark, d):
+    return spark.createDataFrame([(n, select_traversal_resolution(range(8), 7, n)) for n in (500, 7, 1)], "max_fetch int, resolution int")
+
+
+@query("SELECT 'v' AS column_name, 'bigint' AS kind, 3 AS base_tables, 6 AS compacted_tables")
+def list_tablesets_usable_columns(spark, d):
+    def use(st, s):
+        t = st.list_tablesets()[s.name]
+        return spark.createDataFrame([(c, k, len(t.base), len(t.compacted)) for c, k in t.columns.items()], "column_name string, kind string, base_tables int, compacted_tables int")
+
+    return _with_tableset(spark, _events_schema, [_valued(spark, d)], use)
+
+
+@query("SELECT * FROM (VALUES ('elephants', 2, 1), ('something_else', 2, 0), ('water', 14, 14)) t(basename, base_tables, compacted_tables)")
+def find_tablesets_from_names(spark, d):
+    names = [f"water_{r:02}_{k}" for r in range(14) for k in ("base", "compacted")] + ["something_else_06", "something_else_07", "elephants_02_base", "elephants_03_base", "elephants_01_compacted", "elephants_02_base_tmp1", "columns"]
+    return spark.createDataFrame([(s.basename, len(s.base), len(s.compacted)) for s in find_tablesets(names).values()], "basename string, base_tables int, compacted_tables int")
+
+
+# --- merge engines --------------------------------------------------------------
+
+
+def _keyed(spark, d) -> DataFrame:
+    x = read(spark, d, "lineitem")
+    return x.select(cell("l_orderkey", 6).alias(CELL), "l_partkey", "l_suppkey", F.col("l_quantity"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias(BATCH))
+
+
+_KEYED_SQL = "SELECT l_orderkey AS k, l_partkey, l_suppkey, l_quantity, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS b FROM lineitem"
+
+
+@query(f"""
+WITH x AS ({_KEYED_SQL}), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY b DESC, l_partkey DESC, l_quantity DESC, l_suppkey DESC) AS n FROM x)
+SELECT {cell_sql('k', 6)} AS h3index, l_partkey, l_suppkey, l_quantity FROM o WHERE n = 1
+""")
+def dedupe_replacing(spark, d):
+    return merge_rows(_keyed(spark, d).select(CELL, BATCH, "l_partkey", "l_quantity", "l_suppkey"), TableEngine("replacing"), [CELL]).select(CELL, "l_partkey", "l_suppkey", "l_quantity")
+
+
+@query(f"""
+WITH x AS (SELECT DISTINCT k, l_partkey, l_suppkey, l_quantity FROM ({_KEYED_SQL}))
+SELECT {cell_sql('k', 6)} AS h3index, sum(l_quantity) AS l_quantity FROM x GROUP BY k
+""")
+def dedupe_summing(spark, d):
+    return merge_rows(_keyed(spark, d), TableEngine("summing", ("l_quantity",)), [CELL]).select(CELL, "l_quantity")
+
+
+@query(f"SELECT DISTINCT {cell_sql('l_orderkey', 6)} AS h3index FROM lineitem")
+def dedupe_aggregating(spark, d):
+    return merge_rows(_keyed(spark, d), TableEngine("aggregating"), [CELL]).select(CELL)
+
+
+@query(f"""
+SELECT {cell_sql('k', 6)} AS h3index, day, round(p, 4) AS price
+FROM (SELECT o_orderkey AS k, o_orderdate::DATE AS day, max(o_totalprice) AS p FROM orders GROUP BY 1, 2) WHERE k // 2401 IN (0, 1)
+""")
+def dedupe_touched_partitions(spark, d):
+    """The same batch twice: merging the touched partitions leaves each row once."""
+    o = _orders(spark, d)
+    return _with_tableset(spark, _orders_schema, [o, o], lambda st, s: _rounded(st.query_tableset_cells(s.name, TableSetQuery(), [_parent_of_key(0, 2), _parent_of_key(1, 2)], 6)))
+
+
+# --- partition expressions ------------------------------------------------------
+
+
+@query("""
+SELECT o_orderkey, year(o_orderdate)::INTEGER AS y1, (year(o_orderdate) // 3 * 3)::INTEGER AS y3,
+       ceil(year(o_orderdate) * 100 + 100 * (month(o_orderdate) - 1) / 12)::INTEGER AS m1, ((year(o_orderdate) * 12 + month(o_orderdate) - 1) // 6)::INTEGER AS m6 FROM orders
+""")
+def partition_temporal(spark, d):
+    e = lambda u, n: TemporalPartitioning(u, n).expression(F.col("o_orderdate"))
+    return read(spark, d, "orders").select("o_orderkey", e("years", 1).alias("y1"), e("years", 3).alias("y3"), e("months", 1).alias("m1"), e("months", 6).alias("m6"))
+
+
+@query(f"SELECT o_orderkey, (25 + o_orderkey // 117649)::INTEGER AS base_cell, {cell_sql('o_orderkey // 2401', 2)} AS lower_4, {cell_sql('o_orderkey // 117649', 0)} AS lower_8 FROM orders")
+def partition_cells(spark, d):
+    o = read(spark, d, "orders").withColumn(CELL, cell("o_orderkey", 6))
+    p = lambda k, n=8: CellPartitioning(k, n).expression(CELL, 6)
+    return o.select("o_orderkey", p("basecell").alias("base_cell"), p("lowerresolution", 4).alias("lower_4"), p("lowerresolution", 8).alias("lower_8"))
+
+
+# --- raw SQL --------------------------------------------------------------------
+
+
+@query("SELECT r_name, count(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def raw_sql_passthrough(spark, d):
+    store = CellStore(spark, DATABASE, create_db=True)
+    for t in ("nation", "region"):
+        read(spark, d, t).createOrReplaceTempView(f"raw_{t}")
+    return store.execute_into_dataframe("SELECT r_name, count(*) AS nations FROM raw_nation JOIN raw_region ON n_regionkey = r_regionkey GROUP BY r_name")
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query(f"SELECT event_id, {cell_sql('event_id // 49', 3)} AS parent, 49::BIGINT AS n FROM events")
+def sql_functions(spark, d):
+    C.register(spark)
+    events(spark, d).createOrReplaceTempView("cells_events")
+    return spark.sql("SELECT event_id, h3_to_parent(h3index, 3) AS parent, h3_child_count(h3_to_parent(h3index, 3), 5) AS n FROM cells_events")
