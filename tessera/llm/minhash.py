@@ -10,9 +10,10 @@ exceeds 15 differences with probability 0.2 %; it still meets under a key unless
 all 8 chunks have two differences, which has probability 2e-5.)
 
 Within a key nobody is paired with everybody: all members are checked against the
-key's smallest class.  Links give components; keys whose members are still in several
-components get the pairs across components checked too, so no link that could join
-components is lost, whatever the size of a key's group.
+key's most central class, which also tells how each departs from it.  Links give
+components; where a key's members are still in several components, the pairs across are
+checked too, but for those whose departures from the leader prove that they cannot be
+similar enough.  So no link that could join components is lost, whatever a group's size.
 
 Defined cases: null or empty texts, and texts of spaces, have an empty set and are
 linked with nothing; fewer than five words are one shingle; a row without id is linked
@@ -112,33 +113,73 @@ def _agreeing(a: str, b: str) -> Column:
     return reduce(lambda p, q: p + q, parts)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; sizes and signatures are looked at first."""
-    near = pairs.join(classes.alias("x"), pairs.a == F.col("x.cid")).join(classes.alias("y"), pairs.b == F.col("y.cid"))
-    near = near.where((100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")) & (_agreeing("x", "y") >= AGREE)).select("a", "b")
-    near = materialize(near, "near-pairs")
-    need = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    texts = materialize(docs.join(need, "id", "left_semi"), "near-texts")
-    both = near.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+#: Bitmaps, as 64-bit words, of what a text lacks of its leader's set (gone) and has besides (new).
+_GONE, _NEW = [[f"{name}{i}" for i in range(4)] for name in ("gone", "new")]
+
+
+def bitmap(x: np.ndarray) -> np.ndarray:
+    at = (x >> np.uint64(56)).astype(np.int64)
+    out = np.zeros(4, np.uint64)
+    np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return out.view(np.int64)
+
+
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ``pairs``."""
+    need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    return materialize(docs.join(need.hint("merge"), "id", "left_semi"), "near-texts")
+
+
+def compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, link, na, nb, n_new, gone, new) of each pair: whether the full sets are similar enough, and how b's set departs from a's."""
+    both = pairs.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    both = both.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
             (at_a, raw_a), (at_b, raw_b) = buffers(batch.column(2)), buffers(batch.column(3))
             ids = batch.column(0).to_pylist()
-            ok = np.zeros(batch.num_rows, dtype=bool)
+            counts, bits = np.zeros((batch.num_rows, 4), np.int64), np.zeros((batch.num_rows, 8), np.int64)
             for i in range(batch.num_rows):
                 if held is None or ids[i] != last or not np.array_equal(held[0], raw_a[at_a[i] : at_a[i + 1]]):
                     part = raw_a[at_a[i] : at_a[i + 1]].copy()
                     last, held = ids[i], (part, sets_of(part, np.array([0, len(part)]))[0])
-                sb = sets_of(raw_b, at_b[i : i + 2])[0]
-                both_n = len(np.intersect1d(held[1], sb, assume_unique=True))
-                ok[i] = both_n > 0 and 100 * both_n >= PERCENT * (len(held[1]) + len(sb) - both_n)
-            yield batch.select([0, 1]).filter(pa.array(ok))
+                sa, sb = held[1], sets_of(raw_b, at_b[i : i + 2])[0]
+                new = np.setdiff1d(sb, sa, assume_unique=True)
+                common = len(sb) - len(new)
+                counts[i] = common > 0 and 100 * common >= PERCENT * (len(sa) + len(sb) - common), len(sa), len(sb), len(new)
+                bits[i, :4], bits[i, 4:] = bitmap(np.setdiff1d(sa, sb, assume_unique=True)), bitmap(new)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(counts[:, 0] > 0), *(pa.array(np.ascontiguousarray(counts[:, c])) for c in (1, 2, 3)), *(pa.array(np.ascontiguousarray(bits[:, c])) for c in range(8))],
+                names=["a", "b", "link", "na", "nb", "n_new", *_GONE, *_NEW],
+            )
+
+    kind = dict(texts.dtypes)["id"]
+    return both.mapInArrow(run, f"a {kind}, b {kind}, link boolean, na long, nb long, n_new long, " + ", ".join(f"{x} long" for x in _GONE + _NEW))
+
+
+def may_link(u: str, v: str) -> Column:
+    """Whether two texts with the same leader can be similar enough, from how they depart from it.
 
-    kind = dict(docs.dtypes)["id"]
-    return materialize(both.mapInArrow(run, f"a {kind}, b {kind}"), "near-links")
+    Their common part is the leader's set less what either lacks, plus what both have besides.  The
+    union of two bitmaps never counts more than is lacking, and common bits, with what shares a bit of
+    its own bitmap, never count less than is had in common; so no similar pair is refused.
+    """
+    bits = lambda x: reduce(lambda p, q: p + q, [F.bit_count(w) for w in x])
+    c = lambda side, name: F.col(f"{side}.{name}")
+    lacking = bits([c(u, g).bitwiseOR(c(v, g)) for g in _GONE])
+    besides = bits([c(u, w).bitwiseAND(c(v, w)) for w in _NEW])
+    hidden = F.least(*(c(s, "n_new") - bits([c(s, w) for w in _NEW]) for s in (u, v)))
+    common = F.least(c(u, "na") - lacking + besides + hidden, c(u, "nb"), c(v, "nb"))
+    return (100 + PERCENT) * common >= PERCENT * (c(u, "nb") + c(v, "nb"))
+
+
+def confirmed(texts: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; sizes and signatures are looked at first."""
+    near = pairs.join(classes.alias("x"), pairs.a == F.col("x.cid")).join(classes.alias("y"), pairs.b == F.col("y.cid"))
+    near = near.where((100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")) & (_agreeing("x", "y") >= AGREE)).select("a", "b")
+    return materialize(compared(texts, materialize(near, "near-pairs")).where("link").select("a", "b"), "near-links")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,10 +189,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = sketch.where("n > 0 AND id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("id").alias("cid"), *(F.min(s).alias(s) for s in _SIG))
     classes = materialize(classes, "near-classes")
     keyed = materialize(classes.select("cid", F.explode(keys()).alias("key")), "near-keys")
-    leaders = keyed.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("top")).where("lead <> top").select("key", "lead")
-    members = materialize(keyed.join(materialize(leaders, "near-leaders"), "key"), "near-members")
-    star = materialize(members.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct(), "near-star")
-    links = confirmed(rows, star, classes)
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = materialize(keyed.join(materialize(sizes, "near-sizes"), "key"), "near-members")
+    # the class that shares most keys with most others leads: a text that others were made from, rather than one of them
+    central = members.groupBy("cid").agg((F.sum("m") + F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("central"))
+    leaders = members.select("key", "cid").join(materialize(central, "near-central"), "cid").groupBy("key").agg(F.max_by("cid", "central").alias("lead"))
+    leaders = materialize(leaders, "near-leaders")
+    star = members.join(leaders, "key").where("cid <> lead")
+    star = materialize(star.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct(), "near-star")
+    texts = texts_of(rows, star)  # all members of keys are in it, so it serves later pairs too
+    hub = materialize(compared(texts, star), "near-hub")
+    links = hub.where("link").select("a", "b")
     labels = connected_components(links)
 
     # keys whose members are not yet of one component: pairs across components
@@ -159,12 +207,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     placed = materialize(placed, "near-placed")
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     share = placed.join(open_keys, "key", "left_semi").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    major = materialize(share.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major")), "near-major")
-    opened = materialize(placed.join(major, "key"), "near-open")
-    minor = opened.where("comp <> major").select("key", F.col("cid").alias("u"), F.col("comp").alias("cu"))
-    across = minor.join(opened.select("key", F.col("cid").alias("v"), F.col("comp").alias("cv")), "key").where("cu <> cv")
-    across = across.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = confirmed(rows, materialize(across, "near-across"), classes)
+    major = share.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
+    known = hub.drop("link").unionByName(  # a leader departs in nothing from itself
+        leaders.select(F.col("lead").alias("cid")).distinct().join(classes.select("cid", "n"), "cid").select(
+            F.col("cid").alias("a"), F.col("cid").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"), *(F.lit(0).cast("long").alias(x) for x in ["n_new", *_GONE, *_NEW]))
+    )
+    opened = placed.join(materialize(major, "near-major"), "key").join(leaders, "key")
+    opened = materialize(opened.join(materialize(known, "near-known"), (F.col("lead") == F.col("a")) & (F.col("cid") == F.col("b"))).drop("a", "b", "lead"), "near-open")
+    u, v = opened.where("comp <> major").alias("u"), opened.alias("v")
+    across = u.join(v, (F.col("u.key") == F.col("v.key")) & (F.col("u.comp") != F.col("v.comp")) & may_link("u", "v"))
+    across = across.select(F.least("u.cid", "v.cid").alias("a"), F.greatest("u.cid", "v.cid").alias("b")).distinct()
+    across = across.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = confirmed(texts, materialize(across, "near-across"), classes)
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
 

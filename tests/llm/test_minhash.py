@@ -78,3 +78,24 @@ def test_pigeonhole_finds_every_close_signature():
         row[r.choice(32, 15, replace=False)] ^= 1
     same = (a == b).reshape(2000, 8, 4).sum(axis=2)
     assert (same.max(axis=1) >= 3).all()
+
+
+def test_departures_never_refuse_a_similar_pair(spark):
+    r = random.Random(5)
+    v = [f"w{i}" for i in range(500)]
+    texts = [r.choice(v) for _ in range(150)]
+    rows = [(0, " ".join(texts))]
+    for i in range(1, 60):
+        t = list(texts)
+        for _ in range(r.randint(0, 6)):
+            t[r.randrange(len(t))] = r.choice(v)
+        rows.append((i, " ".join(t[: r.randint(130, 150)])))
+    docs = spark.createDataFrame(rows, "id long, text string")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 60)], "a long, b long")
+    hub = M.compared(docs, pairs)
+    sets = {i: shingle_set(t) for i, t in rows}
+    like = lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    assert all(x.link == like(0, x.b) for x in hub.collect())
+    got = {(x[0], x[1]) for x in hub.alias("u").join(hub.alias("v"), M.F.expr("u.b < v.b")).where(M.may_link("u", "v")).select("u.b", "v.b").collect()}
+    want = {(i, j) for i in range(1, 60) for j in range(i + 1, 60) if like(i, j)}
+    assert want <= got and len(got) < len(want) + 200
