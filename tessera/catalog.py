@@ -464,3 +464,51 @@ def sql_functions(spark, d):
     C.register(spark)
     events(spark, d).createOrReplaceTempView("cells_events")
     return spark.sql("SELECT event_id, h3_to_parent(h3index, 3) AS parent, h3_child_count(h3_to_parent(h3index, 3), 5) AS n FROM cells_events")
+
+
+# --- geometry (no SQL: held against invariants and published ids in the tests) ----
+
+
+AREA = {"type": "Polygon", "coordinates": [[(10.0, 10.0), (12.0, 10.0), (12.0, 12.0), (10.0, 12.0), (10.0, 10.0)]]}
+
+
+@query()
+def geo_point_to_cell(spark, d):
+    """Customers placed by key on the globe; 7 rows a customer at resolutions 0 to 6."""
+    from tessera.functions import geometry as G
+
+    c = read(spark, d, "customer").select("c_custkey", ((F.col("c_custkey") * 37) % 170 - 85).cast("double").alias("lat"), ((F.col("c_custkey") * 101) % 360 - 180).cast("double").alias("lng"))
+    return c.select("c_custkey", *(G.point_to_cell_udf(r)("lat", "lng").alias(f"cell_{r}") for r in (0, 3, 6)))
+
+
+@query()
+def geo_grid_disk(spark, d):
+    from tessera.functions import geometry as G
+
+    c = read(spark, d, "supplier").select("s_suppkey", cell("s_suppkey", 3).alias(CELL))
+    return c.select("s_suppkey", F.explode(G.grid_disk_udf(1)(CELL)).alias("near"))
+
+
+@query()
+def geo_polygon_to_cells(spark, d):
+    from tessera.functions import geometry as G
+
+    return spark.createDataFrame([(c,) for c in G.polygon_to_cells(AREA, 5)], f"{CELL} long")
+
+
+@query()
+def geo_border_cells(spark, d):
+    from tessera.functions import geometry as G
+
+    return spark.createDataFrame([(c,) for c in G.border_cells(AREA, 6)], f"{CELL} long")
+
+
+@query()
+def traverse_buffered(spark, d):
+    """Each traversal cell with a buffer of one cell: a row may be in several."""
+
+    def use(st, s):
+        t = traverse_tableset_area_of_interest(st, s.name, TableSetQuery(), [_parent_of_key(k, 3) for k in (0, 1, 2)], 5, include_buffer=1)
+        return t.frame().groupBy("traversal_cell").agg(F.count(F.lit(1)).alias("n"))
+
+    return _with_tableset(spark, _events_schema, [_valued(spark, d)], use)
