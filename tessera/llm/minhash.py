@@ -230,3 +230,30 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS (
+    SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words)
+), sizes AS (
+    SELECT doc_id, count(*) AS n, sum(hash(s)::HUGEINT) AS h FROM shingle GROUP BY doc_id
+), class AS (
+    SELECT n, h, min(doc_id) AS c FROM sizes GROUP BY n, h
+), member AS (
+    SELECT s.doc_id, c.c, s.n FROM sizes s JOIN class c USING (n, h)
+), kept AS (
+    SELECT s.doc_id, s.s, m.n FROM shingle s JOIN member m ON m.doc_id = s.doc_id AND m.c = s.doc_id
+), link AS (
+    SELECT x.doc_id AS a, y.doc_id AS b FROM kept x JOIN kept y ON x.s = y.s AND x.doc_id <> y.doc_id
+    GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), reach(a, b) AS (
+    SELECT c, c FROM class UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), component AS (
+    SELECT a, min(b) AS component FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(m.n, 0)::BIGINT AS n_shingles, coalesce(k.component, d.doc_id) AS component_id, coalesce(k.component, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN member m USING (doc_id) LEFT JOIN component k ON k.a = m.c
+"""

@@ -18,5 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op3_chat": chat.ORACLE_SQL,
+    "op4_minhash": minhash.ORACLE_SQL,
+    "op5_repeats": repeats.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
 }

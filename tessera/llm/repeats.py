@@ -344,3 +344,29 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = """
+WITH bytes AS (
+    SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents
+), piece AS (
+    SELECT doc_id, 512 * c AS o, x[1024 * c + 1 : 1024 * c + 1422] AS y FROM (SELECT doc_id, x, unnest(range(0, length(x) // 1024 + 1)) AS c FROM bytes)
+), start AS (
+    SELECT doc_id, o + p AS p, hash(y[2 * p + 1 : 2 * p + 400]) AS h FROM (SELECT doc_id, o, y, unnest(range(0, length(y) // 2 - 199)) AS p FROM piece)
+), twice AS (
+    SELECT h FROM start GROUP BY h HAVING count(*) > 1
+), hit AS (
+    SELECT doc_id, p, max(p + 200) OVER w AS upto FROM start SEMI JOIN twice USING (h) WINDOW w AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), run AS (
+    SELECT doc_id, p, sum(CASE WHEN upto >= p THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hit
+), gone AS (
+    SELECT doc_id, run, min(p) AS b, max(p) + 200 AS e FROM run GROUP BY doc_id, run
+), gap AS (
+    SELECT doc_id, coalesce(lag(e) OVER w, 0) AS b, b AS e, e AS next FROM gone WINDOW w AS (PARTITION BY doc_id ORDER BY b)
+), total AS (
+    SELECT g.doc_id, sum(next - e)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(x[2 * b + 1 : 2 * e], '' ORDER BY b) || any_value(x)[2 * max(next) + 1 :] AS kept
+    FROM gap g JOIN bytes USING (doc_id) GROUP BY g.doc_id
+)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM bytes LEFT JOIN total USING (doc_id)
+"""
