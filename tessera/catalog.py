@@ -257,16 +257,16 @@ WANTED_6 = [_parent_of_key(k, 6) for k in (0, 5, 700, 1200, 14000, 99_999)]
 
 
 def _rounded(df):
-    return df.select(CELL, "day", F.round("price", 4).alias("price"))
+    return df.select(CELL, F.col("day").cast("string").alias("day"), F.round("price", 4).alias("price"))
 
 
-@query(f"SELECT {cell_sql('o_orderkey', 6)} AS h3index, o_orderdate::DATE AS day, round(o_totalprice, 4) AS price FROM orders WHERE o_orderkey IN (0, 5, 700, 1200, 14000, 99999)")
+@query(f"SELECT {cell_sql('o_orderkey', 6)} AS h3index, o_orderdate::DATE::VARCHAR AS day, round(o_totalprice, 4) AS price FROM orders WHERE o_orderkey IN (0, 5, 700, 1200, 14000, 99999)")
 def query_cells_base(spark, d):
     return _with_tableset(spark, _orders_schema, [_orders(spark, d)], lambda st, s: _rounded(st.query_tableset_cells(s.name, TableSetQuery(), WANTED_6, 6)))
 
 
 @query(f"""
-WITH a AS (SELECT o_orderkey // 7 AS k, o_orderdate::DATE AS day, sum(o_totalprice) AS p FROM orders GROUP BY 1, 2),
+WITH a AS (SELECT o_orderkey // 7 AS k, o_orderdate::DATE::VARCHAR AS day, sum(o_totalprice) AS p FROM orders GROUP BY 1, 2),
      b AS (SELECT k // 7 AS k, day, sum(p) AS p FROM a GROUP BY 1, 2)
 SELECT {cell_sql('k', 4)} AS h3index, day, round(p, 4) AS price FROM b WHERE k IN (0, 14, 24, 285, 2040)
 """)
@@ -275,7 +275,7 @@ def query_cells_coarser(spark, d):
 
 
 @query(f"""
-SELECT {cell_sql('o_orderkey', 6)} AS h3index, o_orderdate::DATE AS day, round(o_totalprice, 4) AS price FROM orders
+SELECT {cell_sql('o_orderkey', 6)} AS h3index, o_orderdate::DATE::VARCHAR AS day, round(o_totalprice, 4) AS price FROM orders
 WHERE o_orderkey // 343 = 2 OR o_orderkey // 7 IN (10, 500, 99) OR o_orderkey IN (3, 4)
 """)
 def query_cells_mixed_input(spark, d):
@@ -331,7 +331,7 @@ def tableset_stats(spark, d):
 
 @query(f"""
 SELECT {cell_sql('k', 6)} AS h3index, day, round(max(p), 4) AS price
-FROM (SELECT o_orderkey AS k, o_orderdate::DATE AS day, o_totalprice + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS p FROM orders) WHERE k // 2401 = 0 GROUP BY k, day
+FROM (SELECT o_orderkey AS k, o_orderdate::DATE::VARCHAR AS day, o_totalprice + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS p FROM orders) WHERE k // 2401 = 0 GROUP BY k, day
 """)
 def insert_multi_batch_replacing(spark, d):
     """The second batch writes half of the rows again with another price: the last batch stays."""
@@ -421,7 +421,7 @@ def dedupe_aggregating(spark, d):
 
 @query(f"""
 SELECT {cell_sql('k', 6)} AS h3index, day, round(p, 4) AS price
-FROM (SELECT o_orderkey AS k, o_orderdate::DATE AS day, max(o_totalprice) AS p FROM orders GROUP BY 1, 2) WHERE k // 2401 IN (0, 1)
+FROM (SELECT o_orderkey AS k, o_orderdate::DATE::VARCHAR AS day, max(o_totalprice) AS p FROM orders GROUP BY 1, 2) WHERE k // 2401 IN (0, 1)
 """)
 def dedupe_touched_partitions(spark, d):
     """The same batch twice: merging the touched partitions leaves each row once."""

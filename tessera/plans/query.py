@@ -187,6 +187,7 @@ def build_cell_query(
             cells_at(s, t.resolution).createOrReplaceTempView(view)
             rows = spark.sql(options.query.template.replace(TABLE_PLACEHOLDER, full_name(t)).replace(CELLS_PLACEHOLDER, f"(SELECT {CELL} FROM {view})"))
             rows = rows.select(CELL, *sorted(c for c in rows.columns if not c.startswith(CELL)))
+            spark.catalog.dropTempView(view)  # the plan holds what it named
         part = take_table(rows, t.resolution, s, options.do_uncompact)
         out = part if out is None else out.unionByName(part)
     return out
