@@ -13,6 +13,8 @@ columns of ``documents``.
 
 Defined cases are those of the operators; besides, rows without id stay in all stages, rows that
 repeat an id are treated alike, and an empty table passes through as an empty one.
+
+Decisions meet the documents by sort merge joins at every size, as those of a large corpus must.
 """
 
 from __future__ import annotations
@@ -36,17 +38,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_sha"))
     sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    return docs.join(materialize(kept, "pipeline-exact"), docs.doc_id.eqNullSafe(F.col("kept_id")) & (sha == F.col("kept_sha")), "left_semi")
+    return docs.join(materialize(kept, "pipeline-exact").hint("merge"), docs.doc_id.eqNullSafe(F.col("kept_id")) & (sha == F.col("kept_sha")), "left_semi")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = near_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(materialize(kept, "pipeline-near"), docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(materialize(kept, "pipeline-near").hint("merge"), docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = mix(docs, whole=True).groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("copies"))
-    mixed = docs.join(materialize(copies, "pipeline-mix"), docs.doc_id.eqNullSafe(F.col("mix_id")))
+    mixed = docs.join(materialize(copies, "pipeline-mix").hint("merge"), docs.doc_id.eqNullSafe(F.col("mix_id")))
     return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
 
 
