@@ -46,3 +46,21 @@ def test_end_of_a_very_long_text_counts():
     long = np.frombuffer(b"filler text " * 100_000 + b"Vile", np.uint8)
     f, first = X.features(long, np.array([0, len(long)]))
     assert X._sums(model.weight[f], first)[0] == 9
+
+
+def test_rare_words_of_few_positives_have_weights():
+    r = random.Random(5)
+    plain = [f"word{i}" for i in range(40)]
+    make = lambda *more: " ".join([r.choice(plain) for _ in range(30)] + list(more)).encode()
+    rare = ["vile", "nasty", "awful", "horrid"]
+    positive = [make(rare[i % 4], rare[(i + 1) % 4]) for i in range(10)]
+    model = X.fit(positive, positive + [make() for _ in range(60)], 0.15)
+    assert model.weight.any()  # not the zero model
+
+    def score(text):
+        raw = np.frombuffer(text, np.uint8)
+        f, first = X.features(raw, np.array([0, len(raw)]))
+        return X._sums(model.weight[f], first)[0]
+
+    assert all(score(w.encode()) > 0 for w in rare)
+    assert min(score(make(*rare[:2])) for _ in range(20)) > max(score(make()) for _ in range(20))
