@@ -98,10 +98,13 @@ def anchors(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]
             text, *rest = _anchors(raw[lo:hi], at[i:j] - lo, at[i + 1 : j + 1] - lo, 0, hi - lo)
             yield text + i, *rest
             continue
+        before = -1  # a part's first windows may have the last anchor of the part before
         for s in range(lo, hi, _PART):  # one long text, part by part with what windows and contexts reach
             a, b = max(lo, s - _LEFT), min(hi, s + _PART + 2 * LENGTH)
-            text, *rest = _anchors(raw[a:b], np.array([lo - a]), np.array([hi - a]), s - a, s - a + _PART)
-            yield text + i, *rest
+            text, pos, *rest = _anchors(raw[a:b], np.array([lo - a]), np.array([hi - a]), s - a, s - a + _PART)
+            new = pos > before
+            before = int(pos[-1]) if len(pos) else before
+            yield text[new] + i, pos[new], *(x[new] for x in rest)
 
 
 # --- the suffix array of one chunk ---------------------------------------------

@@ -68,3 +68,21 @@ def test_long_text_has_the_anchors_of_its_windows(monkeypatch):
 
 def test_interval_tree():
     assert sorted(R.intervals(np.array([3, 5, 5, 0, 2]), 1)) == [(2, 4, 5), (3, 0, 3), (5, 1, 3)]
+
+
+def test_long_text_has_each_anchor_once(monkeypatch):
+    raw = np.random.default_rng(0).integers(97, 110, 9000).astype(np.uint8)
+    at = np.array([0, len(raw)])
+    whole = [tuple(x) for part in R.anchors(raw, at) for x in zip(*part, strict=True)]
+    for part in (300, 1000, 1777):
+        monkeypatch.setattr(R, "_PART", part)
+        assert [tuple(x) for got in R.anchors(raw, at) for x in zip(*got, strict=True)] == whole
+
+
+def test_text_of_several_parts_against_brute_force(spark):
+    r = random.Random(6)
+    prose = lambda n: "".join(r.choice("abcdefgh ,.") for _ in range(n))
+    again = prose(260)
+    rows = [(0, prose(2 * R._PART + 5000)), (1, prose(R._PART - 300) + again + prose(900)), (2, prose(50) + again), (3, "ab" * (R._PART // 2 + 300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, R.cut_repeats(docs).collect()), key=str) == brute(rows)
