@@ -1,9 +1,11 @@
 """Secret scanning: candidates judged by a random forest.
 
-A candidate is a run of at least ``SHORTEST`` letters, digits and ``+/_-.`` that holds a digit.
+A candidate is a run of at least ``SHORTEST`` letters, digits and ``+/_-.`` that holds a digit; the value,
+of any length and any characters but spaces, after a naming word and ``=`` or ``:`` (a quoted one up to its quote,
+spaces included); and a run that begins with a known prefix.
 The forest, written in numpy, sees its length, character transitions, dictionary coverage, whether it
 looks like a path, host or number, and the words beside it; it learns from labelled findings which
-candidates are false positives.  Findings keep their score, so none is lost.
+candidates are false positives.  Findings keep their score, so no candidate is lost.
 
 Defined cases: null and empty texts have no findings; long texts are scanned whole; repeated rows give
 their findings each; a null id is carried; an empty table has no findings.
@@ -50,6 +52,13 @@ DICTIONARY = {
     "service", "session", "simple", "size", "source", "start", "state", "static", "string", "style", "system", "table", "target", "template", "test", "text", "time", "title", "type", "update",
     "user", "value", "version", "view", "width", "window", "word",
 }
+#: What known kinds of credentials begin with.
+PREFIXES = ("AKIA", "ASIA", "sk_live_", "ghp_", "xoxb-")
+#: A naming word, alone or as a part of a name, an optional quote, and = or :; then the value.
+_HEAD = rb"(?i:" + b"|".join(sorted((w.encode() for w in NAMING), key=len, reverse=True)) + rb")(?![A-Za-z])[A-Za-z0-9_.\-]{0,40}[\"'\]]{0,2}[ \t]{0,8}(?:=>|[=:])(?![=>])[ \t]{0,8}"
+_NAMED = re.compile(_HEAD + rb"(?:\"(?P<d>[^\"\r\n]+)\"|'(?P<s>[^'\r\n]+)'|(?P<b>[^\s]+))")
+_HEAD = re.compile(_HEAD)
+_KNOWN = re.compile(rb"(?<![A-Za-z0-9+/_.\-])(?:" + "|".join(map(re.escape, PREFIXES)).encode() + rb")[A-Za-z0-9+/_.\-]+")
 _PARTS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=len, reverse=True)))
 _WORD = re.compile(r"[A-Za-z_0-9]+")
 
@@ -69,9 +78,41 @@ def runs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     digits = np.concatenate([[0], np.cumsum(_DIGIT[x])])
     ok = (e - b >= SHORTEST) & (digits[e] > digits[b])
     b, e = b[ok] + lo, e[ok] + lo
+    more = []
+    for t in range(len(at) - 1):
+        more += [(int(at[t]) + p, int(at[t]) + q) for p, q in _named(raw[at[t] : at[t + 1]].tobytes())]
+    if more:
+        both = np.unique(np.concatenate([np.stack([b, e], axis=1), np.array(more)]), axis=0)
+        b, e = both[:, 0], both[:, 1]
     return np.searchsorted(at, b, side="right") - 1, b, e
 
 
+def _named(text: bytes) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the values after naming words, and of what begins with a known prefix."""
+    p = 0
+    while m := _NAMED.search(text, p):
+        b, p = m.span(m.lastgroup)
+        if m.lastgroup != "b":
+            yield b, p
+            continue
+        spans, e = [(b, p)], p
+        inner = [x.span() for x in _HEAD.finditer(text, b, e)]  # names inside the value: a=b&token=c
+        for k, (head, value) in enumerate(inner):
+            if text[value : value + 1] in (b'"', b"'") and head > b:
+                p = head  # quoted, so it may go on after a space
+                break
+            spans.append((value, inner[k + 1][0] if k + 1 < len(inner) else e))
+        for b, e in spans:  # what closes around a value is not part of it
+            while e > b and text[e - 1] in b",;)]}\"'":
+                e -= 1
+            while b < e and text[b] in b"\"'":
+                b += 1
+            if e > b:
+                yield b, e
+    for m in _KNOWN.finditer(text):
+        yield m.span()
+
+
 NAMES = ["length", "digits", "upper", "lower", "marks", "changes", "vowel_pairs", "repeats", "steps", "distinct", "hex", "dictionary", "path", "host", "number", "assigned", "quoted", "named", "harmless"]
 
 
@@ -161,20 +202,27 @@ def labelled_findings(n: int = 3000, seed: int = 9) -> list[tuple[str, str, str,
         before, after = " ".join(word() for _ in range(4)) + " ", " " + " ".join(word() for _ in range(3))
         name = r.choice(sorted(NAMING))
         lead = before + r.choice([f"{name}=", f'{name} = "', f"{name}: ", f"{name} "])
+        given = before + r.choice([f"{name}=", f'{name} = "', f"{name}: "])
         plain = r.random() < 0.3
         secret = r.random() < 0.5
         if secret:
-            kind = r.randrange(4)
+            kind = r.randrange(7)
             if kind == 0:
                 value, before = any_(hexa, r.choice([18, 24, 32, 40, 64])), lead
             elif kind == 1:
                 value, before = r.choice(["AKIA", "ASIA"]) + any_(caps, 16), before if plain else lead
             elif kind == 2:
                 value, before = any_(b64, r.randint(20, 60)), before if plain else lead
-            else:
+            elif kind == 3:
                 value, before = r.choice(["sk_live_", "ghp_", "xoxb-"]) + any_(string.ascii_letters + string.digits, r.randint(16, 36)), before if plain else lead
+            elif kind == 4:
+                value, before = any_(string.ascii_letters + string.digits + "!@#$%&*", r.randint(8, 16)), given
+            elif kind == 5:
+                value, before = any_(string.ascii_letters, r.randint(8, 40)), given
+            else:
+                value, before = r.choice(" -_.").join(word() for _ in range(r.randint(3, 5))), before + f'{name} = "'
         else:
-            kind = r.randrange(8)
+            kind = r.randrange(10)
             if kind == 0:
                 value = any_(string.digits, r.choice([14, 16, 16, 18]))
             elif kind == 1:
@@ -189,10 +237,13 @@ def labelled_findings(n: int = 3000, seed: int = 9) -> list[tuple[str, str, str,
                 value = "/".join(r.choice(sorted(DICTIONARY)) for _ in range(3)) + f"/{word()}{r.randrange(9)}." + r.choice(["html", "png", "py"])
             elif kind == 6:
                 value = "_".join(r.choice(sorted(DICTIONARY)) for _ in range(3)) + str(r.randrange(100))
+            elif kind == 7:
+                value, before = r.choice([word(), r.choice(sorted(DICTIONARY)), any_(string.digits, r.randint(1, 6)), "null", "None", "true", "false"]), given
+            elif kind == 8:
+                value, before = r.choice(["os.environ", "config.get", "get_token()", "self.token", "<token>", "${TOKEN}", "********", "xxxxxxxx", "changeme", "your_password_here"]) + r.choice(["", ";", "."]), given
             else:
                 value, before = r.choice(["0123456789abcdef", "xxxxxxxxxxxx1234", "1111111111111111", "EXAMPLEKEY012345", "abcdefghijk12345"]) + any_("0x", r.randint(0, 6)), lead
-        if len(value) >= SHORTEST and any(c.isdigit() for c in value):
-            out.append((value, before, after, int(secret)))
+        out.append((value, before, after, int(secret)))
     return out
 
 
