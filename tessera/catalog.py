@@ -111,6 +111,13 @@ def cell_child_count(spark, d):
     return s.select("s_suppkey", C.child_count(h, 5).alias("n"))
 
 
+@query("SELECT s_suppkey, CASE WHEN s_suppkey = 1 THEN 41 ELSE 49 END::BIGINT AS n FROM supplier")
+def cell_child_count_whole(spark, d):
+    """Every supplier has a cell; key 1 the pentagon."""
+    h = F.when(F.col("s_suppkey") == 1, cell(F.lit(0), 3, 4)).otherwise(cell("s_suppkey", 3))
+    return read(spark, d, "supplier").select("s_suppkey", C.child_count(h, 5).alias("n"))
+
+
 @query(f"""
 SELECT DISTINCT {cell_sql('k', 4)} AS h3index FROM (
     SELECT p_partkey AS k FROM part WHERE p_partkey % 3 = 0
@@ -194,6 +201,20 @@ def agg_pentagon_rta(spark, d):
     return aggregate_to(rows, 3, 2, {"balance": "relativetocellarea"}).select(CELL, F.round("balance", 6).alias("balance"))
 
 
+@query(f"""
+WITH s AS (SELECT s_suppkey % 286 AS i, s_acctbal AS v FROM supplier),
+     c AS (SELECT CASE WHEN i < 1 THEN i WHEN i < 6 THEN i + 1 WHEN i < 41 THEN i + 8 ELSE i + 57 END AS k, v FROM s),
+     g AS (SELECT k // 7 AS k, sum(v) / CASE WHEN k // 7 = 0 THEN 6 ELSE 7 END AS v FROM c GROUP BY k // 7)
+SELECT {cell_sql('k', 2, 4)} AS h3index, round(v, 6) AS balance FROM g
+""")
+def agg_pentagon_rta_whole(spark, d):
+    """Every supplier falls on one of the 286 cells of the pentagon, which lacks keys 1, 7-13 and 49-97."""
+    i = F.col("s_suppkey") % 286
+    k = F.when(i < 1, i).when(i < 6, i + 1).when(i < 41, i + 8).otherwise(i + 57)
+    rows = read(spark, d, "supplier").select(cell(k, 3, 4).alias(CELL), F.col("s_acctbal").alias("balance"))
+    return aggregate_to(rows, 3, 2, {"balance": "relativetocellarea"}).select(CELL, F.round("balance", 6).alias("balance"))
+
+
 # --- compaction -----------------------------------------------------------------
 
 
