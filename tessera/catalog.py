@@ -362,6 +362,18 @@ def insert_multi_batch_replacing(spark, d):
     return _with_tableset(spark, _orders_schema, [o, again], lambda st, s: _rounded(st.query_tableset_cells(s.name, TableSetQuery(), [_parent_of_key(0, 2)], 6)))
 
 
+@query(f"""
+SELECT {cell_sql('k', 6)} AS h3index, day, round(max(p), 4) AS price
+FROM (SELECT o_orderkey AS k, o_orderdate::DATE::VARCHAR AS day, o_totalprice + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS p FROM orders) GROUP BY k, day
+""")
+def insert_multi_batch_replacing_whole(spark, d):
+    """As insert_multi_batch_replacing, but every stored cell is asked for."""
+    o = _orders(spark, d)
+    again = o.join(read(spark, d, "orders").where("o_orderkey % 2 = 0").select(cell("o_orderkey", 6).alias(CELL)).distinct(), CELL, "left_semi")
+    again = again.withColumn("price", F.col("price") + 1)
+    return _with_tableset(spark, _orders_schema, [o, again], lambda st, s: _rounded(st.query_tableset_cells(s.name, TableSetQuery(), o.select(CELL).distinct(), 6)))
+
+
 @query(f"""
 WITH m AS (SELECT event_id // 49 AS k, count(*) AS n, max(event_id // 2500) AS v FROM events GROUP BY 1)
 SELECT {cell_sql('k', 3)} AS traversal_cell, n, v FROM m
@@ -450,6 +462,16 @@ def dedupe_touched_partitions(spark, d):
     return _with_tableset(spark, _orders_schema, [o, o], lambda st, s: _rounded(st.query_tableset_cells(s.name, TableSetQuery(), [_parent_of_key(0, 2), _parent_of_key(1, 2)], 6)))
 
 
+@query(f"""
+SELECT {cell_sql('k', 6)} AS h3index, day, round(p, 4) AS price
+FROM (SELECT o_orderkey AS k, o_orderdate::DATE::VARCHAR AS day, max(o_totalprice) AS p FROM orders GROUP BY 1, 2)
+""")
+def dedupe_touched_partitions_whole(spark, d):
+    """As dedupe_touched_partitions, but every stored cell is asked for."""
+    o = _orders(spark, d)
+    return _with_tableset(spark, _orders_schema, [o, o], lambda st, s: _rounded(st.query_tableset_cells(s.name, TableSetQuery(), o.select(CELL).distinct(), 6)))
+
+
 # --- partition expressions ------------------------------------------------------
 
 
