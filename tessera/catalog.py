@@ -310,6 +310,11 @@ def query_cells_uncompacted(spark, d):
     return _with_tableset(spark, _events_schema, [_valued(spark, d)], lambda st, s: st.query_tableset_cells(s.name, TableSetQuery(), want, 5))
 
 
+@query(f"SELECT {cell_sql('event_id', 5)} AS h3index, event_id // 2500 AS v FROM events")
+def query_cells_uncompacted_whole(spark, d):
+    return _with_tableset(spark, _events_schema, [_valued(spark, d)], lambda st, s: st.query_tableset_cells(s.name, TableSetQuery(), events(spark, d).select(CELL), 5))
+
+
 @query(f"""
 WITH RECURSIVE w(k, r) AS (SELECT DISTINCT event_id, 5 FROM events WHERE event_id IN (0, 3000, 9999)),
      l5 AS (SELECT event_id AS k, event_id // 2500 AS v FROM events),
@@ -551,7 +556,7 @@ def traverse_buffered(spark, d):
     """Each traversal cell with a buffer of one cell: a row may be in several."""
 
     def use(st, s):
-        t = traverse_tableset_area_of_interest(st, s.name, TableSetQuery(), [_parent_of_key(k, 3) for k in (0, 1, 2)], 5, include_buffer=1)
+        t = traverse_tableset_area_of_interest(st, s.name, TableSetQuery(), events(spark, d).select(CELL), 5, include_buffer=1)
         return t.frame().groupBy("traversal_cell").agg(F.count(F.lit(1)).alias("n"))
 
     return _with_tableset(spark, _events_schema, [_valued(spark, d)], use)
