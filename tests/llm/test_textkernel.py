@@ -39,3 +39,16 @@ def test_shingles():
     h, _ = K.words(np.frombuffer(b"a b c d e f a b c d e", np.uint8), np.array([0, 21]))
     assert len(K.shingles(h)) == 6
     assert len(K.shingles(h[:3])) == 1 and len(K.shingles(h[:0])) == 0
+
+
+def test_a_word_has_one_hash_wherever_it_stands():
+    n = K.SEGMENT
+    for size in (7, 8, 9, 1000, n - 1, n, n + 1, 2 * n + 3):
+        word = bytes(97 + i * i % 26 for i in range(size))
+        seen = set()
+        for text, k in ((word, 0), (b"ab " + word, 1), (word + b" ab", 0), (b"x" * (n - 3) + b" " + word + b"\ty " + b"z" * n, 1)):
+            raw = np.frombuffer(b"pad" + text, np.uint8)
+            h, first = K.words(raw, np.array([3, 3 + len(text)]))
+            assert len(h) == len(text.split()) and list(first) == [0, len(h)]
+            seen.add(int(h[k]))
+        assert len(seen) == 1
