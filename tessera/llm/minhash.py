@@ -9,11 +9,14 @@ the distance threshold therefore meets under one of 32 keys.  (A pair of similar
 exceeds 15 differences with probability 0.2 %; it still meets under a key unless
 all 8 chunks have two differences, which has probability 2e-5.)
 
-Within a key nobody is paired with everybody: all members are checked against the
-key's most central class, which also tells how each departs from it.  Links give
-components; where a key's members are still in several components, the pairs across are
-checked too, but for those whose departures from the leader prove that they cannot be
-similar enough.  So no link that could join components is lost, whatever a group's size.
+Within a key all members are checked against its most central class, which also tells how
+each departs from it.  Links give components.  Where a key's members are in several
+components, the most central member outside the largest one leads next, as long as such rounds
+bring components together; each round is linear.  What is then left across components is
+checked too, every pair once, under the first key it shares and only if the departures from the
+leader do not prove it too far apart.  So no link that could join components is lost, whatever
+a group's size, and rounds only save work.  Links are confirmed on full sets: hashes first, then
+the words of every common shingle as bytes.
 
 Defined cases: null or empty texts, and texts of spaces, have an empty set and are
 linked with nothing; fewer than five words are one shingle; a row without id is linked
@@ -33,14 +36,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import renamed, table
 from tessera.llm.components import connected_components
-from tessera.llm.textkernel import buffers, fmix, shingles, text_groups, words
-from tessera.plans.scratch import materialize
+from tessera.llm.textkernel import SHINGLE, buffers, fmix, shingle_hashes, shingles, text_groups, words
+from tessera.plans.scratch import discard, materialize
 
 CHUNKS, PER_CHUNK, BITS = 8, 4, 16
 #: Least similarity in hundredths.
 PERCENT = 75
-#: Fewest equal signature values of a pair that is compared in full; 0.75 is below it once in a million.
-AGREE = 12
+#: A further round of leaders must have closed this share of what was open.
+GAIN = 1 / 8
 
 _rng = np.random.Generator(np.random.PCG64(4))
 _A = _rng.integers(1, 2**63, CHUNKS * PER_CHUNK, dtype=np.uint64) | np.uint64(1)
@@ -90,36 +93,38 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return renamed(docs, id=id_col, text=text_col).mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, " + ", ".join(f"{s} long" for s in _SIG))
 
 
+def _lane(v: int, others: bool = False) -> Column:
+    """Mask of value ``v`` of a chunk, or of all others."""
+    mask = ((1 << BITS) - 1) << (BITS * v)
+    mask = ((1 << 64) - 1) ^ mask if others else mask
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask)
+
+
 def keys() -> Column:
     """All keys of a signature: each chunk with one of its values left out."""
-    out = []
-    for c in range(CHUNKS):
-        for v in range(PER_CHUNK):
-            mask = ((1 << 64) - 1) ^ (((1 << BITS) - 1) << (BITS * v))
-            mask -= (1 << 64) if mask >> 63 else 0
-            out.append(F.xxhash64(F.lit(c * PER_CHUNK + v), F.col(_SIG[c]).bitwiseAND(F.lit(mask))))
-    return F.array(*out)
+    return F.array(*(F.xxhash64(F.lit(c * PER_CHUNK + v), F.col(_SIG[c]).bitwiseAND(_lane(v, True))) for c in range(CHUNKS) for v in range(PER_CHUNK)))
 
 
-def _agreeing(a: str, b: str) -> Column:
-    """Number of equal signature values of two sides."""
-    parts = []
-    for s in _SIG:
-        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
-        for v in range(PER_CHUNK):
-            mask = ((1 << BITS) - 1) << (BITS * v)
-            mask -= (1 << 64) if mask >> 63 else 0
-            parts.append((x.bitwiseAND(F.lit(mask)) == 0).cast("int"))
-    return reduce(lambda p, q: p + q, parts)
+def first_shared(u: str, v: str, at: str) -> Column:
+    """Whether two signatures share no key before key number ``at``."""
+    out = F.lit(True)
+    for c in range(CHUNKS):
+        x = F.col(f"{u}.{_SIG[c]}").bitwiseXOR(F.col(f"{v}.{_SIG[c]}"))
+        apart = reduce(lambda p, q: p + q, ((x.bitwiseAND(_lane(k)) != 0).cast("int") for k in range(PER_CHUNK))) >= 2
+        out &= (F.col(at) < (c + 1) * PER_CHUNK) | apart  # no key of a chunk gone by
+        for k in range(PER_CHUNK - 1):  # nor an earlier one of this chunk
+            out &= ~F.col(at).between(c * PER_CHUNK + k + 1, (c + 1) * PER_CHUNK - 1) | (x.bitwiseAND(_lane(k, True)) != 0)
+    return out
 
 
 #: Bitmaps, as 64-bit words, of what a text lacks of its leader's set (gone) and has besides (new).
-_GONE, _NEW = [[f"{name}{i}" for i in range(4)] for name in ("gone", "new")]
+_MAP = 8
+_GONE, _NEW = [[f"{name}{i}" for i in range(_MAP)] for name in ("gone", "new")]
 
 
 def bitmap(x: np.ndarray) -> np.ndarray:
-    at = (x >> np.uint64(56)).astype(np.int64)
-    out = np.zeros(4, np.uint64)
+    at = (x >> np.uint64(55)).astype(np.int64)
+    out = np.zeros(_MAP, np.uint64)
     np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
     return out.view(np.int64)
 
@@ -130,28 +135,44 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(docs.join(need.hint("merge"), "id", "left_semi"), "near-texts")
 
 
+def same_words(a: bytes, b: bytes, ha: np.ndarray, hb: np.ndarray) -> bool:
+    """Whether shingles of equal hash (``ha`` and ``hb`` in text order) have equal words."""
+    wa, wb = a.lower().split(), b.lower().split()  # bytes: only A-Z change, and only 0x20 and 0x09-0x0D part
+    (ua, ia), (ub, ib) = np.unique(ha, return_index=True), np.unique(hb, return_index=True)
+    _, x, y = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    return all(wa[i : i + SHINGLE] == wb[j : j + SHINGLE] for i, j in zip(ia[x].tolist(), ib[y].tolist(), strict=True))
+
+
 def compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, link, na, nb, n_new, gone, new) of each pair: whether the full sets are similar enough, and how b's set departs from a's."""
     both = pairs.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = both.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
+    def hashed(raw: np.ndarray) -> np.ndarray:
+        return shingle_hashes(words(raw, np.array([0, len(raw)]))[0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
             (at_a, raw_a), (at_b, raw_b) = buffers(batch.column(2)), buffers(batch.column(3))
             ids = batch.column(0).to_pylist()
-            counts, bits = np.zeros((batch.num_rows, 4), np.int64), np.zeros((batch.num_rows, 8), np.int64)
+            counts, bits = np.zeros((batch.num_rows, 4), np.int64), np.zeros((batch.num_rows, 2 * _MAP), np.int64)
             for i in range(batch.num_rows):
                 if held is None or ids[i] != last or not np.array_equal(held[0], raw_a[at_a[i] : at_a[i + 1]]):
                     part = raw_a[at_a[i] : at_a[i + 1]].copy()
-                    last, held = ids[i], (part, sets_of(part, np.array([0, len(part)]))[0])
-                sa, sb = held[1], sets_of(raw_b, at_b[i : i + 2])[0]
+                    whole = hashed(part)
+                    last, held = ids[i], (part, whole, np.unique(whole))
+                ha, sa = held[1:]
+                hb = hashed(raw_b[at_b[i] : at_b[i + 1]])
+                sb = np.unique(hb)
                 new = np.setdiff1d(sb, sa, assume_unique=True)
                 common = len(sb) - len(new)
-                counts[i] = common > 0 and 100 * common >= PERCENT * (len(sa) + len(sb) - common), len(sa), len(sb), len(new)
-                bits[i, :4], bits[i, 4:] = bitmap(np.setdiff1d(sa, sb, assume_unique=True)), bitmap(new)
+                link = common > 0 and 100 * common >= PERCENT * (len(sa) + len(sb) - common)
+                link = link and same_words(held[0].tobytes(), raw_b[at_b[i] : at_b[i + 1]].tobytes(), ha, hb)
+                counts[i] = link, len(sa), len(sb), len(new)
+                bits[i, :_MAP], bits[i, _MAP:] = bitmap(np.setdiff1d(sa, sb, assume_unique=True)), bitmap(new)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts[:, 0] > 0), *(pa.array(np.ascontiguousarray(counts[:, c])) for c in (1, 2, 3)), *(pa.array(np.ascontiguousarray(bits[:, c])) for c in range(8))],
+                [batch.column(0), batch.column(1), pa.array(counts[:, 0] > 0), *(pa.array(np.ascontiguousarray(counts[:, c])) for c in (1, 2, 3)), *(pa.array(np.ascontiguousarray(bits[:, c])) for c in range(2 * _MAP))],
                 names=["a", "b", "link", "na", "nb", "n_new", *_GONE, *_NEW],
             )
 
@@ -175,11 +196,15 @@ def may_link(u: str, v: str) -> Column:
     return (100 + PERCENT) * common >= PERCENT * (c(u, "nb") + c(v, "nb"))
 
 
-def confirmed(texts: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; sizes and signatures are looked at first."""
-    near = pairs.join(classes.alias("x"), pairs.a == F.col("x.cid")).join(classes.alias("y"), pairs.b == F.col("y.cid"))
-    near = near.where((100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")) & (_agreeing("x", "y") >= AGREE)).select("a", "b")
-    return materialize(compared(texts, materialize(near, "near-pairs")).where("link").select("a", "b"), "near-links")
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after ``links`` have joined components; only components are walked."""
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    if links.isEmpty():
+        return labels
+    edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    up = connected_components(edges).withColumnRenamed("id", "was").withColumnRenamed("component", "now")
+    out = labels.join(up, labels.component == F.col("was"), "left").select("id", F.coalesce("now", "component").alias("component"))
+    return materialize(out, "near-labels")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,42 +213,70 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sketch = materialize(sketches(docs, id_col, text_col), "near-sketches")
     classes = sketch.where("n > 0 AND id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("id").alias("cid"), *(F.min(s).alias(s) for s in _SIG))
     classes = materialize(classes, "near-classes")
-    keyed = materialize(classes.select("cid", F.explode(keys()).alias("key")), "near-keys")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = materialize(keyed.join(materialize(sizes, "near-sizes"), "key"), "near-members")
+    keyed = materialize(classes.select("cid", F.posexplode(keys()).alias("at", "key")), "near-keys")
+    sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "near-sizes")
+    shared = materialize(keyed.join(sizes, "key"), "near-members")
+    discard(keyed, sizes)
     # the class that shares most keys with most others leads: a text that others were made from, rather than one of them
-    central = members.groupBy("cid").agg((F.sum("m") + F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("central"))
-    leaders = members.select("key", "cid").join(materialize(central, "near-central"), "cid").groupBy("key").agg(F.max_by("cid", "central").alias("lead"))
-    leaders = materialize(leaders, "near-leaders")
+    central = shared.groupBy("cid").agg((F.sum("m") + F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("central"))
+    central = materialize(central, "near-central")
+    members = materialize(shared.join(central, "cid"), "near-ranked")
+    discard(shared, central)
+    leaders = materialize(members.groupBy("key").agg(F.max_by("cid", "central").alias("lead")), "near-leaders")
     star = members.join(leaders, "key").where("cid <> lead")
     star = materialize(star.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct(), "near-star")
     texts = texts_of(rows, star)  # all members of keys are in it, so it serves later pairs too
     hub = materialize(compared(texts, star), "near-hub")
-    links = hub.where("link").select("a", "b")
-    labels = connected_components(links)
-
-    # keys whose members are not yet of one component: pairs across components
-    placed = members.join(labels, members.cid == labels.id, "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
-    placed = materialize(placed, "near-placed")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    share = placed.join(open_keys, "key", "left_semi").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    major = share.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"))
-    known = hub.drop("link").unionByName(  # a leader departs in nothing from itself
-        leaders.select(F.col("lead").alias("cid")).distinct().join(classes.select("cid", "n"), "cid").select(
-            F.col("cid").alias("a"), F.col("cid").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"), *(F.lit(0).cast("long").alias(x) for x in ["n_new", *_GONE, *_NEW]))
-    )
-    opened = placed.join(materialize(major, "near-major"), "key").join(leaders, "key")
-    opened = materialize(opened.join(materialize(known, "near-known"), (F.col("lead") == F.col("a")) & (F.col("cid") == F.col("b"))).drop("a", "b", "lead"), "near-open")
-    u, v = opened.where("comp <> major").alias("u"), opened.alias("v")
-    across = u.join(v, (F.col("u.key") == F.col("v.key")) & (F.col("u.comp") != F.col("v.comp")) & may_link("u", "v"))
-    across = across.select(F.least("u.cid", "v.cid").alias("a"), F.greatest("u.cid", "v.cid").alias("b")).distinct()
-    across = across.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = confirmed(texts, materialize(across, "near-across"), classes)
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
+    labels = members.select(F.col("cid").alias("id")).distinct().withColumn("component", F.col("id"))
+    labels = _relabelled(materialize(labels, "near-labels"), hub.where("link").select("a", "b"))
+
+    leads = leaders.select(F.col("lead").alias("cid")).distinct().join(classes.select("cid", "n"), "cid")
+    own = leads.select(F.col("cid").alias("lead"), "cid", F.col("n").alias("na"), F.col("n").alias("nb"), *(F.lit(0).cast("long").alias(x) for x in ["n_new", *_GONE, *_NEW]))
+    known = hub.drop("link").withColumnsRenamed({"a": "lead", "b": "cid"}).unionByName(own)  # a leader departs in nothing from itself
+    known = materialize(known.join(classes.select("cid", *_SIG), "cid"), "near-known")
+    tried = hub.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def opened() -> DataFrame:
+        """Members of keys that are not yet of one component, with the key's largest component and their departures from its leader."""
+        placed = materialize(members.join(labels, members.cid == labels.id).select("key", "at", "cid", "central", F.col("component").alias("comp")), "near-placed")
+        open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        share = placed.join(open_keys, "key", "left_semi").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        major = materialize(share.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major")), "near-major")
+        found = placed.join(major, "key").join(leaders, "key")
+        out = materialize(found.join(known, ["lead", "cid"]).drop("lead"), "near-open")
+        discard(placed, major)
+        return out
+
+    def across(u: DataFrame, v: DataFrame, *more: Column) -> DataFrame:
+        """Pairs of different components that may link and were not compared yet."""
+        met = u.alias("u").join(v.alias("v"), reduce(lambda p, q: p & q, more, (F.col("u.key") == F.col("v.key")) & (F.col("u.comp") != F.col("v.comp")) & may_link("u", "v")))
+        met = met.select(F.least("u.cid", "v.cid").alias("a"), F.greatest("u.cid", "v.cid").alias("b"))
+        return materialize(met.distinct().join(tried, ["a", "b"], "left_anti"), "near-across")
+
+    now, last = opened(), None
+    while True:
+        minor = now.where("comp <> major")
+        size = minor.count()
+        if size == 0 or (last is not None and size > (1 - GAIN) * last):
+            break
+        last = size
+        next_lead = minor.groupBy("key").agg(F.max_by("cid", "central").alias("cid"))
+        pairs = across(minor.join(materialize(next_lead, "near-next"), ["key", "cid"], "left_semi"), now)
+        linked = materialize(compared(texts, pairs).select("a", "b", "link"), "near-round")
+        tried = tried.unionByName(linked.select("a", "b"))
+        labels = _relabelled(labels, linked.where("link").select("a", "b"))
+        discard(now)
+        now = opened()
+    if size:
+        # a pair shows up under the first key it shares, and from one side only
+        once = ((F.col("v.comp") == F.col("u.major")) | (F.col("u.cid") < F.col("v.cid"))) & first_shared("u", "v", "u.at")
+        linked = compared(texts, across(now.where("comp <> major"), now, once)).where("link").select("a", "b")
+        labels = _relabelled(labels, linked)
 
     home = classes.join(labels, classes.cid == labels.id, "left").select("n", "h1", "h2", F.coalesce("component", "cid").alias("comp"))
-    out = sketch.select("id", "n", "h1", "h2").join(materialize(home, "near-home"), ["n", "h1", "h2"], "left")
+    home = materialize(home, "near-home")
+    discard(classes, members, leaders, star, texts, hub, known, now)
+    out = sketch.select("id", "n", "h1", "h2").join(home, ["n", "h1", "h2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

@@ -99,3 +99,53 @@ def test_departures_never_refuse_a_similar_pair(spark):
     got = {(x[0], x[1]) for x in hub.alias("u").join(hub.alias("v"), M.F.expr("u.b < v.b")).where(M.may_link("u", "v")).select("u.b", "v.b").collect()}
     want = {(i, j) for i in range(1, 60) for j in range(i + 1, 60) if like(i, j)}
     assert want <= got and len(got) < len(want) + 200
+
+
+def test_words_that_defeat_polynomial_hashes(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    docs = spark.createDataFrame([(1, "p q r s " + one), (2, "p q r s " + two), (3, one), (4, two)], "doc_id long, text string")
+    assert sorted(r.component_id for r in M.near_dedup(docs).collect()) == [1, 2, 3, 4]
+
+
+def test_words_are_compared_where_hashes_agree():
+    h = np.array([7, 9], np.uint64)
+    assert M.same_words(b"a b c d e f", b"A b c d e  f", h, h)
+    assert not M.same_words(b"a b c d e f", b"a b c d e g", h, h)
+
+
+def test_stars_of_members_far_from_their_leader(spark):
+    """Around one text many that are not similar to it, some of them close to each other, some to nobody."""
+    r = random.Random(3)
+    v = [f"w{i}" for i in range(5000)]
+    base = [r.choice(v) for _ in range(120)]
+
+    def changed(words, n):
+        out = list(words)
+        for i in r.sample(range(len(out)), n):
+            out[i] = r.choice(v)
+        return out
+
+    texts = [base]
+    for n in (4, 5, 6, 7):
+        for _ in range(12):
+            far = changed(base, n)
+            texts.append(far)
+            texts += [changed(far, r.randint(1, 3)) for _ in range(3)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, M.near_dedup(docs).collect())) == brute(rows)
+
+
+def test_first_shared_key(spark):
+    r = np.random.default_rng(2)
+    a = r.integers(0, 1 << 16, (300, 32))
+    b = np.where(r.random((300, 32)) < 0.4, a ^ 1, a)
+    pack = lambda x: [[int(np.int64(np.uint64(sum(int(y[4 * c + k]) << (16 * k) for k in range(4))))) for c in range(8)] for y in x]
+    side = lambda x: spark.createDataFrame([(i, *s) for i, s in enumerate(pack(x))], "i long, " + ", ".join(f"s{c} long" for c in range(8)))
+    at = spark.range(32).select(M.F.col("id").cast("int").alias("at"))
+    got = side(a).alias("u").join(side(b).alias("v"), "i").crossJoin(at).where(M.first_shared("u", "v", "at")).groupBy("i").agg(M.F.max("at")).collect()
+    for i, last in got:
+        shared = [4 * c + k for c in range(8) for k in range(4) if all(a[i, 4 * c + j] == b[i, 4 * c + j] for j in range(4) if j != k)]
+        assert last == (shared[0] if shared else 31)
