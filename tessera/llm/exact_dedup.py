@@ -4,7 +4,12 @@ A snapshot is the set of texts already taken in.  Its digests are dealt into
 buckets and each bucket gets one static binary-fuse filter.  A new batch is
 grouped by digest on its own first; its distinct digests are screened by the
 filter of their bucket; only positives go to the exact buckets, where digests and
-then bytes are compared.
+then bytes are compared.  A bucket's filter meets the batch in pieces of bounded size,
+however large the batch is against the snapshot.
+
+``exact_dedup`` does this within one table.  ``write_snapshot`` keeps a snapshot (filters,
+digests, texts) in a folder that is never changed afterwards, and ``dedup_against`` holds
+any number of later batches against it.
 
 Defined cases: a null text counts as empty; empty texts are copies of each other;
 a null id ranks below every id; rows that repeat one id and text are one document,
@@ -14,6 +19,7 @@ are not looked at.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 import numpy as np
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import renamed, table
 from tessera.llm.textkernel import fmix
-from tessera.plans.scratch import materialize
+from tessera.plans.scratch import discard, materialize
 
 #: Digests a bucket should hold, so that its filter is built and used in one task's memory.
 BUCKET = 250_000
@@ -106,6 +112,10 @@ def default_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(buckets))
+
+
 def snapshot_filters(digests: DataFrame, buckets: int) -> DataFrame:
     """One row a bucket: the filter over the 64-bit keys of its ``digest`` values."""
 
@@ -113,12 +123,15 @@ def snapshot_filters(digests: DataFrame, buckets: int) -> DataFrame:
         seed, seg, count, data = build_filter(pdf["key"].to_numpy().view(np.uint64))
         return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "seed": [seed], "seg": [seg], "count": [count], "data": [data]})
 
-    keys = digests.select(F.xxhash64("digest").alias("key")).select(F.pmod("key", F.lit(buckets)).alias("bucket"), "key")
+    keys = digests.select(F.xxhash64("digest").alias("key"), bucket_of(buckets).alias("bucket"))
     return keys.groupBy("bucket").applyInPandas(make, "bucket long, seed long, seg long, count long, data binary")
 
 
-def screen(batch: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """``batch`` (digest, n, top) with ``maybe``: false where the snapshot certainly lacks the digest."""
+def screen(batch: DataFrame, filters: DataFrame, buckets: int, pieces: int) -> DataFrame:
+    """``batch`` (digest, n, top) with ``maybe``: false where the snapshot certainly lacks the digest.
+
+    Each bucket of the batch is dealt into ``pieces``, and its filter goes to all of them.
+    """
 
     def test(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(right):
@@ -128,8 +141,64 @@ def screen(batch: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
             left["maybe"] = False
         return left[["digest", "n", "top", "maybe"]]
 
-    keyed = batch.withColumn("key", F.xxhash64("digest")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
-    return keyed.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(test, "digest binary, n long, top long, maybe boolean")
+    keyed = batch.withColumn("key", F.xxhash64("digest")).withColumn("bucket", bucket_of(buckets)).withColumn("piece", F.pmod(F.hash("digest"), F.lit(pieces)))
+    filters = filters.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    kind = dict(batch.dtypes)["top"]
+    return keyed.groupBy("bucket", "piece").cogroup(filters.groupBy("bucket", "piece")).applyInPandas(test, f"digest binary, n long, top {kind}, maybe boolean")
+
+
+def grouped(prints: DataFrame) -> DataFrame:
+    """(digest, n, top) of the distinct digests among ``prints`` (id, digest)."""
+    return prints.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+
+
+def pieces_of(batch: DataFrame, buckets: int, bucket_rows: int) -> int:
+    return batch.count() // (buckets * bucket_rows) + 1
+
+
+@dataclasses.dataclass(frozen=True)
+class Snapshot:
+    """``stored`` (bucket, digest, text, n, top): distinct texts; ``filters``: one row a bucket."""
+
+    stored: DataFrame
+    filters: DataFrame
+    buckets: int
+
+
+def write_snapshot(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET) -> Snapshot:
+    """Keep the distinct texts of ``docs`` and their filters in ``path``, which must not exist yet."""
+    rows = renamed(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    prints = materialize(rows.select("id", default_digest(F.col("text")).alias("digest")), "exact-prints")
+    groups = materialize(grouped(prints), "exact-snapshot")
+    buckets = groups.count() // bucket_rows + 1
+    # one text a digest: the least of the rows with the largest id
+    held = rows.withColumn("digest", default_digest(F.col("text"))).join(groups, "digest").where("id <=> top").groupBy("digest").agg(F.min("text").alias("text"), F.first("n").alias("n"), F.first("top").alias("top"))
+    held.withColumn("bucket", bucket_of(buckets)).repartition("bucket").sortWithinPartitions("bucket", "digest").write.parquet(f"{path}/stored")
+    snapshot_filters(groups, buckets).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/filters")
+    discard(prints, groups)
+    return open_snapshot(docs.sparkSession, path)
+
+
+def open_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    filters = spark.read.parquet(f"{path}/filters")
+    first = filters.select("buckets").first()
+    return Snapshot(spark.read.parquet(f"{path}/stored"), filters.drop("buckets"), first[0] if first else 1)
+
+
+def dedup_against(docs: DataFrame, snapshot: Snapshot, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET) -> DataFrame:
+    """(id, known_id, keep_id, kept) for every row of a new batch: ``known_id`` is the snapshot's row of equal text, if any.
+
+    Of new texts the row with the largest id stays; of known ones none does.
+    """
+    rows = renamed(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digest", default_digest(F.col("text")))
+    batch = materialize(grouped(rows.select("id", "digest")), "exact-batch")
+    screened = materialize(screen(batch, snapshot.filters, snapshot.buckets, pieces_of(batch, snapshot.buckets, bucket_rows)), "exact-screened")
+    hit = screened.where("maybe").select("digest").join(snapshot.stored.select("digest", F.col("text").alias("stored_text"), F.col("top").alias("known")), "digest")
+    hit = materialize(hit, "exact-hits")
+    found = rows.join(hit, "digest").where("text = stored_text").select("digest", "known").distinct()  # bytes; a digest of 256 bits has one text
+    out = rows.select("id", "digest").join(batch.select("digest", "top"), "digest").join(materialize(found, "exact-known").withColumn("is_known", F.lit(True)), "digest", "left")
+    keep = F.when(F.col("is_known"), F.col("known")).otherwise(F.col("top"))
+    return out.select(F.col("id").alias(id_col), F.col("known").alias("known_id"), keep.alias("keep_id"), (F.col("is_known").isNull() & F.col("id").eqNullSafe(F.col("top"))).alias("kept"))
 
 
 def exact_dedup(
@@ -152,13 +221,11 @@ def exact_dedup(
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     prints = materialize(rows.select("id", "old", digest(F.col("text")).alias("digest"), F.unhex(F.sha2("text", 256)).alias("sha")), "exact-prints")
 
-    def grouped(part: DataFrame) -> DataFrame:
-        return part.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
-
     snapshot = materialize(grouped(prints.where("old")), "exact-snapshot")
-    batch = grouped(prints.where("not old"))
+    batch = materialize(grouped(prints.where("not old")), "exact-batch")
     buckets = max(16, snapshot.count() // bucket_rows + 1)
-    screened = materialize(screen(batch, snapshot_filters(snapshot, buckets), buckets), "exact-screened")
+    screened = materialize(screen(batch, snapshot_filters(snapshot, buckets), buckets, pieces_of(batch, buckets, bucket_rows)), "exact-screened")
+    discard(batch)
     positive = screened.where("maybe").select("digest", F.col("n").alias("n2"), F.col("top").alias("top2"))
     stored = snapshot.join(positive, "digest", "left")
     known = stored.select("digest", (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.greatest("top", "top2").alias("top"))
@@ -166,13 +233,15 @@ def exact_dedup(
     fresh = screened.where("not maybe").select("digest", "n", "top")
     groups = materialize(known.unionByName(fresh).unionByName(false_hits), "exact-groups")
 
+    discard(snapshot, screened)
     # bytes of every row that shares a digest are compared with those of the row that stays
     shared = groups.where("n > 1").select("digest", "top")
     members = rows.select("id", "text", digest(F.col("text")).alias("digest")).join(shared, "digest")
     members = materialize(members, "exact-members")
     stays = members.where("id <=> top").groupBy("digest").agg(F.min("text").alias("stay_text"))
-    compared = members.join(materialize(stays, "exact-stays"), "digest")
-    other = materialize(compared.where("text <> stay_text").select("id", "digest", "text"), "exact-other")
+    stays = materialize(stays, "exact-stays")
+    other = materialize(members.join(stays, "digest").where("text <> stay_text").select("id", "digest", "text"), "exact-other")
+    discard(members, stays)
     placed = prints.select("id", "digest", "sha")
     if other.isEmpty():
         out = placed.join(groups, "digest")
