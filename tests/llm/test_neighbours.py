@@ -52,3 +52,25 @@ def test_few_and_none(spark):
 
 def test_chi_square():
     assert abs(N.chi_square_quantile(0.95, 8) - 15.5073) < 1e-3
+
+
+def test_many_cells_pieces_and_parts(spark, monkeypatch):
+    """A hot vector fills cells of its own, and queries go to other cells than their own."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in (rng.normal(size=12) if i % 3 else np.full(12, 0.5))]) for i in range(4000)]
+    monkeypatch.setattr(N, "BLOCK", 100)
+    monkeypatch.setattr(N, "PART", 2)
+    want, got = brute(rows), run(spark, rows)
+    assert set(want) == set(got)
+    hits = sum(len({j for _, j in want[q]} & {j for _, j in got[q]}) for q in want)
+    assert hits >= 0.95 * 10 * len(want)
+    assert got[300] == [(0.0, j) for j in range(0, 30, 3)]  # copies of the query: the smallest ids
+
+
+def test_top_tree_routes_every_point():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(5000, N.DIMS))
+    cells = N.TopTree.fit(x[:1000], 4).cells(x)
+    assert set(cells) == set(range(16)) and np.bincount(cells).max() < 1000
+    assert (N.TopTree.fit(np.ones((50, N.DIMS)), 3).cells(np.ones((9, N.DIMS))) == N.TopTree.fit(np.ones((50, N.DIMS)), 3).cells(np.ones((1, N.DIMS)))).all()
+    assert (N.TopTree.fit(x[:0], 0).cells(x) == 0).all()
