@@ -99,6 +99,15 @@ def children(cell: Column | str, res: int) -> Column:
     return F.when(resolution(h) <= res, F.transform(numbers, child))
 
 
+def expand(df, res: int, cell: str = CELL_COLUMN):
+    """``df`` with each row repeated for the descendants of its cell at ``res``; three resolutions a step, so no row
+    ever holds more than 343 cells.  Rows that are finer already stay as they are."""
+    for step in range(3, res + 3, 3):
+        step = min(step, res)
+        df = df.withColumn(cell, F.explode(F.coalesce(children(cell, step), F.array(cell))))
+    return df
+
+
 def is_valid(cell: Column | str) -> Column:
     """Mode 1, no reserved bits, base cell up to 121, digits 0-6 down to the resolution and 7 below, no deleted pentagon branch."""
     h = _col(cell)
@@ -116,7 +125,7 @@ def is_valid(cell: Column | str) -> Column:
 def change_resolution(df, res: int, cell: str = CELL_COLUMN):
     """Distinct cells of ``df`` moved to ``res``: ancestors of finer ones, descendants of coarser ones."""
     up = df.where(resolution(cell) >= res).select(to_parent(cell, res).alias(cell))
-    down = df.where(resolution(cell) < res).select(F.explode(children(cell, res)).alias(cell))
+    down = expand(df.where(resolution(cell) < res).select(cell), res, cell)
     return up.unionByName(down).distinct()
 
 

@@ -46,7 +46,7 @@ def aggregate_to(df: DataFrame, source: int, target: int, methods: dict[str, str
 
 def expand_to(df: DataFrame, target: int) -> DataFrame:
     """Every row repeated for each descendant of its cell at ``target``."""
-    return df.withColumn(CELL, F.explode(cells.children(CELL, target))).select(*df.columns)
+    return cells.expand(df, target)
 
 
 def cascade(

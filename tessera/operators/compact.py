@@ -44,10 +44,4 @@ def compact(df: DataFrame, finest: int, coarsest: int = 0) -> DataFrame:
 
 def uncompact(df: DataFrame, target: int) -> DataFrame:
     """All rows at ``target``: coarser cells become their descendants; finer ones are left out."""
-    return df.where(cells.resolution(CELL) <= target).withColumn(CELL, F.explode(cells.children(CELL, target))).select(*df.columns)
-
-
-def uncompact_wanted(df: DataFrame, resolution: int, wanted: DataFrame) -> DataFrame:
-    """Rows of cells at ``resolution`` taken apart into the ``wanted`` cells only: an equi-join on the
-    wanted cell's ancestor, so a coarse cell never grows beyond what is asked for."""
-    return wanted.select(F.col(CELL).alias("_want"), cells.to_parent(CELL, resolution).alias(CELL)).join(df, CELL).select(F.col("_want").alias(CELL), *[c for c in df.columns if c != CELL])
+    return cells.expand(df.where(cells.resolution(CELL) <= target), target)

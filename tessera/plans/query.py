@@ -125,10 +125,11 @@ def take_table(rows: DataFrame, res: int, s: Selection, do_uncompact: bool = Tru
     for q, part in s.coarse.items():
         if res >= q:
             up = part.select(F.col(CELL).alias("_up"))
-            hit = rows.join(up, cells.to_parent(CELL, q) == F.col("_up"), "left_semi").select(F.explode(cells.children(CELL, s.resolution)).alias(CELL), *values)
+            hit = rows.join(up, cells.to_parent(CELL, q) == F.col("_up"), "left_semi").select(CELL, *values)
         else:
             up = part.select(F.col(CELL).alias("_want"), cells.to_parent(CELL, res).alias("_up"))
-            hit = rows.join(up, rows[CELL] == F.col("_up")).select(F.explode(cells.children("_want", s.resolution)).alias(CELL), *values)
+            hit = rows.join(up, rows[CELL] == F.col("_up")).select(F.col("_want").alias(CELL), *values)
+        hit = cells.expand(hit, s.resolution)
         out = hit if out is None else out.unionByName(hit)
     return out
 
@@ -137,7 +138,7 @@ def cells_at(s: Selection, res: int) -> DataFrame:
     """The selection moved to ``res``: ancestors of finer cells, descendants of coarser ones (the list of a template)."""
     out = None
     for q, part in [*s.coarse.items(), *([(s.resolution, s.fine)] if s.fine is not None else [])]:
-        moved = part.select(cells.to_parent(CELL, res).alias(CELL)) if q >= res else part.select(F.explode(cells.children(CELL, res)).alias(CELL))
+        moved = part.select(cells.to_parent(CELL, res).alias(CELL)) if q >= res else cells.expand(part.select(CELL), res)
         out = moved if out is None else out.unionByName(moved)
     return out.distinct()
 
@@ -168,7 +169,7 @@ def build_cell_query(
     options: QueryOptions,
     read: Callable[[Table], DataFrame],
     full_name: Callable[[Table], str],
-    partition_of: Callable[[Table, int, int], tuple[str, int] | None] | None = None,
+    partition_of: Callable[[Table], Callable[[int, int], tuple[str, int] | None] | None] | None = None,
 ) -> DataFrame:
     """The union of what the base table of the resolution and all compacted tables up to it contribute."""
     options.query.check()
@@ -179,7 +180,7 @@ def build_cell_query(
     for t in tables:
         if options.query.template is None:
             rows = read(t)
-            for f in pushed_filters(s, t, (lambda c, r, t=t: partition_of(t, c, r)) if partition_of else None):
+            for f in pushed_filters(s, t, partition_of(t) if partition_of and s.literal is not None else None):
                 rows = rows.where(f)
             rows = rows.select(*columns)
         else:

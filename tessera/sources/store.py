@@ -8,10 +8,13 @@ tables in the shared folder, so a lost executor costs a re-read.
 from __future__ import annotations
 
 import dataclasses
+import re
 import threading
 import time
+import uuid
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +26,7 @@ from tessera.operators.compact import compact, uncompact
 from tessera.operators.dedupe import merge_rows
 from tessera.plans import query as Q
 from tessera.plans.schema import BATCH, CELL, PARTITION, ResolutionMetadata, TableSetSchema
-from tessera.plans.scratch import materialize
+from tessera.plans.scratch import discard, materialize
 from tessera.plans.tableset import Table, TableSet, find_tablesets, parse_table_name, usable_columns
 from tessera.sources.frame import CellFrame, ensure_wrapped, to_spark
 
@@ -33,7 +36,7 @@ class InsertOptions:
     create_schema: bool = True
     deduplicate_after_insert: bool = True
     max_num_rows_per_chunk: int = 1_000_000
-    #: Set from another thread to stop between steps.
+    #: Set from another thread to stop: running jobs are cancelled.
     abort: threading.Event = dataclasses.field(default_factory=threading.Event)
 
 
@@ -148,9 +151,36 @@ class CellStore:
             raise MissingColumn(f"column {sorted(missing)[0]} is missing")
         return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.spark_schema()))
 
-    @_guard
     def insert_h3dataframe_into_tableset(self, schema: TableSetSchema, frame, options: InsertOptions | None = None) -> None:
+        """Rows of one key in the batch are merged first, so base and coarser tables agree.
+
+        Tables are appended one after the other: a failure or an abort in between leaves the tables before it
+        with the batch, and inserting it again merges with them.  A tableset has one writer at a time, because
+        merging rewrites the partitions it has read.
+        """
         options = options or InsertOptions()
+        tag, over = f"tessera-insert-{uuid.uuid4().hex}", threading.Event()
+        context = self.spark.sparkContext
+
+        def cancel() -> None:
+            while not over.wait(0.2):
+                if options.abort.is_set():
+                    context.cancelJobsWithTag(tag)
+
+        context.addJobTag(tag)
+        threading.Thread(target=cancel, daemon=True).start()
+        try:
+            self._insert(schema, frame, options)
+        except (StorageError, Py4JError) as e:
+            if options.abort.is_set():
+                raise Aborted("insert was stopped") from e
+            raise
+        finally:
+            over.set()
+            context.removeJobTag(tag)
+
+    @_guard
+    def _insert(self, schema: TableSetSchema, frame, options: InsertOptions) -> None:
         schema.validate()
 
         def check() -> None:
@@ -160,17 +190,23 @@ class CellStore:
         given = materialize(self._prepared(schema, frame), "insert-rows")
         if given.isEmpty():
             return
-        finest, bad = given.agg(F.max(cells.resolution(CELL)), F.min(F.struct(cells.is_valid(CELL).alias("ok"), CELL))).first()
+        coarsest, finest, bad = given.agg(F.min(cells.resolution(CELL)), F.max(cells.resolution(CELL)), F.min(F.struct(cells.is_valid(CELL).alias("ok"), CELL))).first()
         if not bad.ok:
             raise InvalidCell(f"not a cell: {bad[CELL]}")
         top = schema.max_resolution
         if finest > top:
             raise UnsupportedResolution(f"resolution {finest} is finer than {top}")
         check()
+        used = [given]
         if not schema.use_compacted_resolutions:
-            given = materialize(uncompact(given, top), "insert-rows")
-        elif not schema.uses_sum:
-            given = materialize(compact(given, finest), "insert-rows")
+            given = uncompact(given, top)
+        given = materialize(self._merged_batch(schema, given), "insert-merged")
+        used.append(given)
+        unique = True  # no two rows of one key, unless compaction met cells of mixed resolutions
+        if schema.use_compacted_resolutions and not schema.uses_sum:
+            unique = coarsest == finest
+            given = materialize(compact(given, finest), "insert-compact")
+            used.append(given)
         given = given.withColumn("_res", cells.resolution(CELL))
         levels = sorted(r["_res"] for r in given.select("_res").distinct().collect())  # at most 16 rows
         if not levels:
@@ -181,17 +217,29 @@ class CellStore:
             self.create_tableset(schema)
         methods = {n: c.aggregation for n, c in schema.columns.items() if c.aggregation}
         types = {n: c.spark_type for n, c in schema.columns.items() if n != CELL}
-        base = cascade(by_res, schema.base_resolutions, methods, types, lambda df, r: materialize(df, f"insert-{r:02}"), check)
+
+        def keep(df: DataFrame, r: int) -> DataFrame:
+            used.append(materialize(df, f"insert-{r:02}"))
+            return used[-1]
+
+        base = cascade(by_res, schema.base_resolutions, methods, types, keep, check)
         rows: dict[ResolutionMetadata, DataFrame] = {ResolutionMetadata(r, False): df for r, df in base.items() if df is not None}
         rows |= {ResolutionMetadata(r, True): df for r, df in by_res.items() if r != top}
         batch = time.time_ns()
         for meta, df in sorted(rows.items()):
             check()
+            alone = unique and self._stored_in(schema, meta, df).isEmpty()
             self._append(schema, meta, df, batch, options)
-        if options.deduplicate_after_insert:
-            for meta, df in sorted(rows.items()):
+            if options.deduplicate_after_insert and not alone:
                 check()
                 self._merge_partitions(schema, meta, df)
+        discard(*used)
+
+    def _merged_batch(self, schema: TableSetSchema, df: DataFrame) -> DataFrame:
+        """Rows of one key become one by the engine's rule, as in a stored table: within a partition, by the order key."""
+        parts = [(n, e) for n, e in schema.partition_columns(schema.max_resolution) if n != f"{PARTITION}cell"]  # a cell has one cell partition
+        named = df.withColumns(dict(parts)) if parts else df
+        return merge_rows(named, schema.engine, [*(n for n, _ in parts), *schema.order_key()]).select(*df.columns)
 
     def _table(self, schema: TableSetSchema, meta: ResolutionMetadata) -> str:
         return self._full(Table(schema.name, meta.resolution, meta.is_compacted, None, schema.has_base_suffix).name)
@@ -210,20 +258,27 @@ class CellStore:
 
     # --- merging
 
-    def _merge_partitions(self, schema: TableSetSchema, meta: ResolutionMetadata, touched: DataFrame | None) -> None:
+    def _stored_in(self, schema: TableSetSchema, meta: ResolutionMetadata, touched: DataFrame) -> DataFrame:
+        """Stored rows of the partitions that ``touched`` has rows of."""
         names = [n for n, _ in schema.partition_columns(meta.resolution)]
         stored = self.spark.table(self._table(schema, meta))
-        if touched is not None:
-            hit = touched.select(*(e.alias(n) for n, e in schema.partition_columns(meta.resolution))).distinct()
-            values = hit.select(names[0]).distinct().limit(Q.LITERALS + 1).collect()
-            if len(values) <= Q.LITERALS:  # a literal filter prunes partitions before planning the join
-                stored = stored.where(F.col(names[0]).isin([v[0] for v in values]))
-            same = [F.col(f"s.{n}").eqNullSafe(F.col(f"t.{n}")) for n in names]
-            stored = stored.alias("s").join(hit.alias("t"), same, "left_semi")
+        if not stored.inputFiles():
+            return stored
+        hit = touched.select(*(e.alias(n) for n, e in schema.partition_columns(meta.resolution))).distinct()
+        values = hit.select(names[0]).distinct().limit(Q.LITERALS + 1).collect()
+        if len(values) <= Q.LITERALS:  # a literal filter prunes partitions before planning the join
+            stored = stored.where(F.col(names[0]).isin([v[0] for v in values]))
+        same = [F.col(f"s.{n}").eqNullSafe(F.col(f"t.{n}")) for n in names]
+        return stored.alias("s").join(hit.alias("t"), same, "left_semi")
+
+    def _merge_partitions(self, schema: TableSetSchema, meta: ResolutionMetadata, touched: DataFrame | None) -> None:
+        names = [n for n, _ in schema.partition_columns(meta.resolution)]
+        stored = self.spark.table(self._table(schema, meta)) if touched is None else self._stored_in(schema, meta, touched)
         merged = merge_rows(stored, schema.engine, [*names, *schema.order_key()])
         merged = materialize(merged, "merge")  # the table is overwritten while it is read otherwise
         if not merged.isEmpty():
             self._write(schema, meta, merged, "overwrite")
+        discard(merged)
 
     @_guard
     def deduplicate_schema(self, schema: TableSetSchema) -> None:
@@ -237,12 +292,16 @@ class CellStore:
     def _read(self, table: Table) -> DataFrame:
         return self.spark.table(self._full(table.name))
 
-    def _partition_of(self, table: Table, cell: int, res: int):
-        """The cell partition of ``table`` that a cell at ``res`` lies in, where there is just one."""
+    def _partition_of(self, table: Table):
+        """Of a cell and its resolution: the cell partition of ``table`` that it lies in, where there is just one."""
         kind = dict(self._read(table).dtypes).get(f"{PARTITION}cell")
         if kind == "int":
-            return f"{PARTITION}cell", cells.py_base_cell(cell)
-        return None
+            return lambda cell, res: (f"{PARTITION}cell", cells.py_base_cell(cell))
+        first = self.spark.sql(f"SHOW PARTITIONS {self._full(table.name)}").first() if kind == "bigint" else None
+        if first is None:
+            return None
+        level = cells.py_resolution(int(re.search(rf"{PARTITION}cell=(-?\d+)", first[0])[1]))  # all partitions are cells of one resolution
+        return lambda cell, res: (f"{PARTITION}cell", cells.py_to_parent(cell, level)) if res >= level else None
 
     @_guard
     def query_tableset_cells(self, tableset: str | TableSet, query: Q.TableSetQuery, wanted: Iterable[int] | DataFrame, h3_resolution: int, do_uncompact: bool = True) -> DataFrame:

@@ -1,9 +1,12 @@
 import random
+import threading
+import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.catalog import cell as cell_column
 from tessera.errors import DatabaseNotFound, EmptyCells, InvalidCell, MissingQueryPlaceholder, StorageError, TableSetNotFound, UnsupportedResolution
 from tessera.functions import cells as C
 from tessera.operators.aggregate import aggregate_to, cascade
@@ -210,3 +213,41 @@ def test_streaming_insert(store, spark, tmp_path):
     q = insert_stream(store, schema, stream, f"{tmp_path}/ck", availableNow=True)
     q.awaitTermination(120)
     assert store.query_tableset_cells("streamed", TableSetQuery(), kids, 3).agg(F.sum("density")).first()[0] == 14.0
+
+
+@pytest.mark.parametrize("engine,price", [(("replacing", None), 2.0), (("summing", ["price"]), 3.0)])
+def test_a_batch_with_repeated_keys(store, engine, price):
+    b = TableSetSchemaBuilder("again_" + engine[0]).h3_base_resolutions([4, 5]).table_engine(*engine)
+    schema = b.add_aggregated_column("price", "Float64", "sum").build()
+    c = cell(3, 5, 25)
+    store.insert_h3dataframe_into_tableset(schema, pd.DataFrame({"h3index": [c, c], "price": [1.0, 2.0]}))
+    for r in (5, 4):
+        got = store.query_tableset_cells(schema.name, TableSetQuery(), [C.py_to_parent(c, r)], r).collect()
+        assert [x.price for x in got] == [price]
+
+
+def test_abort_cancels_what_runs(store, spark):
+    schema = TableSetSchemaBuilder("stopped").h3_base_resolutions([4, 5]).add_aggregated_column("v", "Float64", "max").build()
+
+    @F.udf("double")
+    def slow(i):
+        time.sleep(0.5)
+        return float(i)
+
+    rows = spark.range(0, 400, 1, 4).select(cell_column("id", 5).alias("h3index"), slow("id").alias("v"))
+    options = InsertOptions()
+    threading.Timer(2, options.abort.set).start()
+    began = time.time()
+    with pytest.raises(KeyboardInterrupt):
+        store.insert_h3dataframe_into_tableset(schema, rows, options)
+    assert time.time() - began < 40
+
+
+def test_lower_resolution_partitions_are_pruned(store):
+    b = TableSetSchemaBuilder("pruned").h3_base_resolutions([4, 5]).h3_partitioning("lowerresolution", 3)
+    schema = b.add_aggregated_column("v", "Int64", "max").build()
+    ids = [cell(k, 5, 25) for k in (0, 400, 900)]
+    store.insert_h3dataframe_into_tableset(schema, pd.DataFrame({"h3index": ids, "v": [1, 2, 3]}))
+    df = store.query_tableset_cells("pruned", TableSetQuery(), ids[1:2], 5)
+    assert [r.v for r in df.collect()] == [2]
+    assert "PartitionFilters: [" in (plan := df._jdf.queryExecution().toString()) and "_p_cell" in plan.split("PartitionFilters: [", 1)[1][:200]
