@@ -12,8 +12,8 @@ anchor at the same place, so two occurrences always meet under the hash of their
     sorted, a stack scan over common prefixes gives the interval tree, and in each interval
     the extension to the left is compared: members that agree far enough to the left are a
     maximal repeat, with all of its occurrences.
-3.  A hash with more distinct contexts than one task should hold goes by the windows
-    themselves, which are counted by hash.
+3.  The exact way for a hash with more distinct contexts than one task should hold: the
+    windows themselves are counted by two hashes.  It finds the same bytes.
 
 Defined cases: a null text is empty; texts under ``LENGTH`` bytes keep everything; copies
 of a text are cut entirely; overlapping occurrences in one text count; matches never cross
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import renamed, table
 from tessera.llm.textkernel import _powers, buffers, fmix, text_groups
-from tessera.plans.scratch import materialize
+from tessera.plans.scratch import discard, materialize
 
 LENGTH, GRAM = 200, 32
 #: Distinct contexts of one hash that a task takes together, and contexts in one suffix array.
@@ -280,8 +280,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- the operator -------------------------------------------------------------
 
 
-def repeated_spans(texts: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """Of ``texts`` (id, text, tk; equal texts share tk): spans (tk, b, e) to cut, and one (tk, text) for each tk that has any."""
+def repeated_spans(texts: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Of ``texts`` (id, text, tk; equal texts share tk): spans (tk, b, e) to cut, one (tk, text) for each tk that has any, and the tables that both read."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +293,11 @@ def repeated_spans(texts: DataFrame, most: int = MOST) -> tuple[DataFrame, DataF
     found = materialize(texts.select("tk", "text").mapInArrow(scan, "key long, around long, tk long, place long"), "repeat-anchors")
     seen = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi"))
     again = materialize(seen.where("n > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "repeat-keys")
-    hits = materialize(found.join(again, "key").groupBy("key", "around", "tk", "place", "mixed").agg(F.count(F.lit(1)).alias("n")), "repeat-hits")
+    # the join stands alone in its stage, so a hot hash is split; copies are then counted map-side first
+    met = materialize(found.join(again, "key"), "repeat-met")
+    discard(found, again)
+    hits = materialize(met.groupBy("key", "around", "tk", "place", "mixed").agg(F.count(F.lit(1)).alias("n")), "repeat-hits")
+    discard(met)
     place = [F.shiftright("place", 8).alias("pos"), F.col("place").bitwiseAND(F.lit(255)).alias("right")]
     begin, end = F.col("pos") - F.least("pos", F.lit(_LEFT)), F.col("pos") + F.col("right")
     equal = hits.where("not mixed").select("tk", *place).select("tk", begin.alias("b"), end.alias("e"))
@@ -303,13 +307,15 @@ def repeated_spans(texts: DataFrame, most: int = MOST) -> tuple[DataFrame, DataF
     kinds = materialize(kinds, "repeat-kinds")
     same = mixed.join(kinds.where("n > 1").select("key", "around"), ["key", "around"]).select("tk", *place).select("tk", begin.alias("b"), end.alias("e"))
     many = kinds.groupBy("key").agg((F.count(F.lit(1)) > most).alias("many"))
+    many = materialize(many, "repeat-many")  # written, so that the join's two sides are dealt out and a hot hash is split
     wanted = kinds.join(many, "key").select("tk", F.struct("key", "many", (F.col("n") == 1).alias("alone"), *place).alias("w"))
     wanted = wanted.groupBy("tk").agg(F.collect_list("w").alias("wanted"))  # at most the anchors of one text
 
     # one row of each text that has a hit
     first = texts.groupBy("tk").agg(F.min("id").alias("first_id"))
     need = hits.select("tk").distinct().join(first, "tk").join(wanted, "tk", "left")
-    held = texts.join(materialize(need, "repeat-need"), "tk").where("id <=> first_id").select("tk", "text", "wanted")
+    need = materialize(need, "repeat-need")
+    held = texts.join(need, "tk").where("id <=> first_id").select("tk", "text", "wanted")
     held = materialize(held, "repeat-texts")
     context = held.where("wanted IS NOT NULL").mapInArrow(_contexts, "key long, many boolean, alone boolean, tk long, pos long, right long, context binary")
     context = materialize(context, "repeat-contexts")
@@ -317,9 +323,10 @@ def repeated_spans(texts: DataFrame, most: int = MOST) -> tuple[DataFrame, DataF
     windows = context.where("many").mapInArrow(_window_hashes, "w1 long, w2 long, tk long, start long").distinct()
     windows = materialize(windows, "repeat-windows")
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    dense = windows.join(materialize(twice, "repeat-twice"), ["w1", "w2"]).select("tk", F.col("start").alias("b"), (F.col("start") + LENGTH).alias("e"))
+    twice = materialize(twice, "repeat-twice")
+    dense = windows.join(twice, ["w1", "w2"]).select("tk", F.col("start").alias("b"), (F.col("start") + LENGTH).alias("e"))
     spans = equal.unionByName(same).unionByName(ranked).unionByName(dense).distinct()
-    return spans, held.select("tk", "text")
+    return spans, held.select("tk", "text"), [hits, kinds, many, need, held, context, windows, twice]
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
@@ -332,9 +339,12 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
     tk = lambda sha: F.xxhash64(F.lit(seed), sha)
     long = rows.where(F.octet_length("text") >= LENGTH).select("id", "text", tk(F.unhex(F.sha2("text", 256))).alias("tk"))
-    spans, held = repeated_spans(long, most)
+    spans, held, read = repeated_spans(long, most)
     listed = spans.groupBy("tk").agg(F.collect_list(F.struct("b", "e")).alias("spans"))  # at most the anchors of one text
-    done = materialize(held.dropDuplicates(["tk"]).join(materialize(listed, "repeat-spans"), "tk").select("tk", "text", "spans").mapInArrow(_cut, "tk long, n_removed long, n_spans long, kept_sha binary"), "repeat-cut")
+    listed = materialize(listed, "repeat-spans")
+    done = held.dropDuplicates(["tk"]).join(listed, "tk").select("tk", "text", "spans").mapInArrow(_cut, "tk long, n_removed long, n_spans long, kept_sha binary")
+    done = materialize(done, "repeat-cut")
+    discard(listed, *read)
     out = prints.withColumn("tk", tk(F.col("sha"))).join(done, "tk", "left")
     return out.select(
         F.col("id").alias(id_col),
