@@ -8,7 +8,7 @@ non-negative positive-unlabelled risk
 
 with the logistic loss: where the second term turns negative, its gradient is
 undone instead of followed.  The class prior is the toxic share of the training
-labels.  Several classifiers from different bootstraps are averaged; their ridge penalty is the one with
+labels, which the rows labelled harmless enter too; nothing else is learnt from them.  Several classifiers from different bootstraps are averaged; their ridge penalty is the one with
 the least error on held-out folds of the fitting texts.
 
 Defined cases: null and empty texts have no words and score the intercept alone;
@@ -33,8 +33,6 @@ from tessera.llm.textkernel import buffers, text_groups, words
 
 #: Confirmed toxic texts, and unlabelled texts, used for fitting: the bound of what the driver gathers.
 FIT_POSITIVE, FIT_UNLABELLED = 2000, 6000
-#: Longer texts take no part in fitting (they are scored like all others).
-FIT_BYTES = 20_000
 #: Hash buckets of words, and the fewest fitting texts a word must be in to get a weight.
 BITS, SEEN = 20, 3
 #: The ridge penalties tried on folds of the fitting texts.
@@ -66,20 +64,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(positive: list[bytes], unlabelled: list[bytes], prior: float) -> Model:
-    prior = min(max(prior, 1e-3), 0.999)
-    if not positive or not unlabelled:
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
+    """The classifier from texts."""
+    made = lambda texts: [features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    folds = lambda texts: np.array([zlib.crc32(t) % FOLDS for t in texts])
+    return fit_features(made(positive), made(unlabelled), folds(positive), folds(unlabelled), prior)
 
-    def made(texts: list[bytes]) -> list[np.ndarray]:
-        out = []
-        for t in texts:
-            raw = np.frombuffer(t, np.uint8)
-            out.append(features(raw, np.array([0, len(raw)]))[0])
-        return out
 
-    p, u = made(positive), made(unlabelled)
-    # equal texts share a fold, as positives may be among the unlabelled too
-    fold_p, fold_u = (np.array([zlib.crc32(t) % FOLDS for t in part]) for part in (positive, unlabelled))
+def fit_features(p: list[np.ndarray], u: list[np.ndarray], fold_p: np.ndarray, fold_u: np.ndarray, prior: float) -> Model:
+    """The classifier from the word buckets of positive and unlabelled texts; equal texts must share a fold, as
+    positives may be among the unlabelled too."""
+    prior = min(max(prior, 1e-3), 0.999)
+    if not p or not u:
+        return Model(np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
     ridge = _ridge(p, u, fold_p, fold_u, prior)
     out, offset = np.zeros(1 << BITS), 0.0
     for m in range(MODELS):
@@ -111,6 +107,19 @@ def _ridge(p: list[np.ndarray], u: list[np.ndarray], fold_p: np.ndarray, fold_u:
     return best[1]
 
 
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two terms of the risk for scores of positive and unlabelled texts; losses are log(1+e^-z) and log(1+e^z)."""
+    return prior * float(np.mean(np.logaddexp(0, -zp))), float(np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp)))
+
+
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a step descends along, for each score: the risk's gradient, or where its second term is negative that term's, turned round."""
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    if risk(zp, zu, prior)[1] >= 0:
+        return (prior * (sp - 1) - prior * sp) / len(sp), su / len(su)
+    return prior * sp / len(sp), -su / len(su)
+
+
 def _train(all_p: list[np.ndarray], all_u: list[np.ndarray], p: list[np.ndarray], u: list[np.ndarray], prior: float, ridge: float) -> tuple[np.ndarray, float]:
     """One classifier: Adagrad steps over the texts p and u, drawn from all_p and all_u.
 
@@ -135,13 +144,7 @@ def _train(all_p: list[np.ndarray], all_u: list[np.ndarray], p: list[np.ndarray]
     for _ in range(STEPS):
         w = v * scale
         zp, zu = _sums(w[jp], cut_p) + b, _sums(w[ju], cut_u) + b
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        # losses: positive log(1+e^-z), negative log(1+e^z); their slopes: s - 1 and s
-        negative = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-        if negative >= 0:
-            dp, du = (prior * (sp - 1) - prior * sp) / len(sp), su / len(su)
-        else:  # undo what made the corrected risk negative
-            dp, du = prior * sp / len(sp), -su / len(su)
+        dp, du = slopes(zp, zu, prior)
         grad = scale * np.bincount(both, weights=np.repeat(np.concatenate([dp, du]), lengths), minlength=dim) + ridge * v
         g = dp.sum() + du.sum()
         square += grad**2
@@ -153,18 +156,36 @@ def _train(all_p: list[np.ndarray], all_u: list[np.ndarray], p: list[np.ndarray]
     return out, b
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, train) -> tuple[list[bytes], list[bytes], float]:
-    """Positives, unlabelled texts and the class prior; bounded by FIT_POSITIVE, FIT_UNLABELLED and FIT_BYTES."""
+def training_features(docs: DataFrame, labels: DataFrame, train) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, float]:
+    """Word buckets and folds of positives and unlabelled texts, and the class prior; bounded by FIT_POSITIVE and FIT_UNLABELLED rows.
+
+    Texts count whole, whatever their length: only their distinct word buckets leave the executors.
+    """
     known = renamed(labels, id="doc_id", label="toxic").where(train).where("label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    usable = renamed(docs, id="doc_id", text="text").where(F.octet_length("text").between(1, FIT_BYTES)).where(train)
+    usable = renamed(docs, id="doc_id", text="text").where("octet_length(text) > 0").where(train)
     positives = known.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(FIT_POSITIVE)
     others = usable.select("id").orderBy(F.xxhash64("id"), "id").limit(FIT_UNLABELLED)  # whatever their labels say
     chosen = positives.select("id", F.lit(True).alias("p")).unionByName(others.select("id", F.lit(False).alias("p"))).groupBy("id").agg(F.max("p").alias("p"), F.min("p").alias("only"))
-    got: pd.DataFrame = usable.join(F.broadcast(chosen), "id").select("id", "p", "only", F.encode("text", "utf-8").alias("text")).toPandas()
-    got = got.sort_values(["id", "text"]).drop_duplicates("id")
-    texts = [bytes(t) for t in got["text"]]
-    return [t for t, p in zip(texts, got["p"], strict=True) if p], [t for t, only in zip(texts, got["only"], strict=True) if not only], (toxic / n if n else 0.5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, raw = buffers(batch.column(batch.schema.get_field_index("text")))
+            f, first = [], [0]
+            for i, j in text_groups(at):
+                own, begin = features(raw, at[i : j + 1])
+                f.append(own)
+                first += (begin[1:] + first[-1]).tolist()
+            words_ = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(np.concatenate(f) if f else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.select(["id", "p", "only", "crc"]).columns, words_], names=["id", "p", "only", "crc", "words"])
+
+    picked = usable.join(F.broadcast(chosen), "id").select("id", "p", "only", F.crc32("text").alias("crc"), "text")
+    got: pd.DataFrame = picked.mapInArrow(run, f"id {dict(docs.dtypes)['doc_id']}, p boolean, only boolean, crc long, words array<int>").toPandas()
+    got = got.sort_values(["id", "crc"]).drop_duplicates("id")
+    parts = [got[got["p"].astype(bool)], got[~got["only"].astype(bool)]]
+    made = [[np.asarray(x, np.int64) for x in part["words"]] for part in parts]
+    folds = [part["crc"].to_numpy(np.int64) % FOLDS for part in parts]
+    return made[0], made[1], folds[0], folds[1], (toxic / n if n else 0.5)
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +211,7 @@ def is_training(id_col: str = "id"):
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(*training_texts(docs, table(spark, sf_dir, "labels"), is_training()))
+    model = fit_features(*training_features(docs, table(spark, sf_dir, "labels"), is_training()))
     return score_texts(docs, model).select(
         F.col("id").alias("doc_id"),
         F.coalesce(crc_mod("id", 5) == 0, F.lit(False)).alias("held_out"),
