@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_mod, renamed, table
 from tessera.llm.textkernel import buffers
+from tessera.plans.scratch import discard, materialize
 
-#: Labelled texts used for fitting, of each class: the bound of what the driver gathers.
-FIT_ROWS = 1500
-#: Labelled texts longer than this take no part in fitting (they are scored like all others).
-FIT_BYTES = 20_000
+#: Labelled texts used for fitting, of each class.  They count whole: executors weigh them, and the driver gathers
+#: at most ``FIT_BLOCKS`` of their blocks a class for the dictionaries, chosen by a hash.
+FIT_ROWS, FIT_BLOCKS = 1500, 4000
 #: Block length; a dictionary only helps near the start of what is compressed.
 BLOCK = 2048
 DICTIONARY = 64 * 1024
@@ -82,8 +82,11 @@ def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, flo
     return float(w[0] / scale), float(w[1])
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    blocks = [t[p : p + BLOCK] for t in texts for p in range(0, len(t), BLOCK)]
+def blocks_of(text: bytes) -> list[bytes]:
+    return [text[p : p + BLOCK] for p in range(0, len(text), BLOCK)]
+
+
+def _dictionary(blocks: list[bytes]) -> bytes:
     size = min(DICTIONARY, max(1024, sum(map(len, blocks)) // 4))
     try:
         return zstandard.train_dictionary(size, blocks).as_bytes()
@@ -91,33 +94,81 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(blocks)[:size] or b" " * 8
 
 
+def constant(good: int, bad: int) -> Model:
+    """The model of too few labels: every score is the share of good ones."""
+    share = min(max(good / (good + bad) if good or bad else 0.5, 0.01), 0.99)
+    return Model(b" " * 8, b" " * 8, 0.0, float(np.log(share / (1 - share))))
+
+
 def fit(good: list[bytes], bad: list[bytes]) -> Model:
     """Even texts build the dictionaries, odd ones the curve; then the roles change and the curve is fitted on both."""
     if len(good) < 2 or len(bad) < 2:
-        share = len(good) / (len(good) + len(bad)) if good or bad else 0.5
-        share = min(max(share, 0.01), 0.99)
-        return Model(b" " * 8, b" " * 8, 0.0, float(np.log(share / (1 - share))))
+        return constant(len(good), len(bad))
+    of = lambda texts: [b for t in texts for b in blocks_of(t)]
     xs, ys = [], []
     for part in (0, 1):
-        half = Model(_dictionary(good[part::2]), _dictionary(bad[part::2]), 0, 0)
+        half = Model(_dictionary(of(good[part::2])), _dictionary(of(bad[part::2])), 0, 0)
         for texts, label in ((good[1 - part :: 2], 1.0), (bad[1 - part :: 2], 0.0)):
             xs.append(evidence(half, iter(texts)))
             ys.append(np.full(len(texts), label))
     slope, offset = curve(np.concatenate(xs), np.concatenate(ys))
-    return Model(_dictionary(good), _dictionary(bad), slope, offset)
+    return Model(_dictionary(of(good)), _dictionary(of(bad)), slope, offset)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, train, rows: int, longest: int) -> list[tuple[int, bytes]]:
-    """At most ``rows`` (label, text) of each class, chosen by a hash of the id among labels for which ``train`` holds."""
-    known = renamed(labels, id="doc_id", label=column).where(train).where("label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
-    texts = renamed(docs, id="doc_id", text="text").where(F.octet_length("text").between(1, longest))
+def train_quality(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS) -> Model:
+    """``fit`` on at most ``rows`` labelled texts a class, chosen by a hash of the id among labels for which ``train`` holds.
+
+    Then the curve moves from the sample's class shares to those of all training labels.
+    """
+    known = renamed(labels, id="doc_id", label="quality").where(train).where("label in (0, 1)").groupBy("id").agg(F.min("label").cast("int").alias("label"))
     chosen = None
     for c in (0, 1):
         part = known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    got = texts.join(F.broadcast(chosen), "id").select("id", "label", F.encode("text", "utf-8").alias("text")).toPandas()
-    got = got.sort_values(["id", "text"]).drop_duplicates("id")
-    return list(zip(got["label"].astype(int), map(bytes, got["text"]), strict=True))
+    texts = renamed(docs, id="doc_id", text="text").where("octet_length(text) > 0").join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id").agg(F.first("label").alias("label"), F.min("text").alias("text")).withColumn("half", F.pmod(F.xxhash64("id", F.lit(8)), F.lit(2)).cast("int"))
+    texts = materialize(texts, "quality-texts")
+    counts = {(r.label, r.half): r["count"] for r in texts.groupBy("label", "half").count().collect()}  # four rows
+    n = [sum(k for (c, _), k in counts.items() if c == label) for label in (0, 1)]
+    if len(counts) < 4:
+        discard(texts)
+        return constant(n[1], n[0])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            id_, label, text, half = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "label", "text", "half"))
+            for i in range(batch.num_rows):
+                parts = blocks_of(text[i].as_py().encode())
+                for s in range(0, len(parts), 512):
+                    some = parts[s : s + 512]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i].as_py()] * len(some), x.type) for x in (id_, label, half)] + [pa.array(range(s, s + len(some)), pa.int64()), pa.array(some, pa.binary())], names=["id", "label", "half", "nth", "block"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    blocks = texts.mapInArrow(cut, f"id {kind}, label int, half int, nth long, block binary")
+    gathered = {}
+    for label, half in counts:
+        own = blocks.where((F.col("label") == label) & (F.col("half") == half)).orderBy(F.xxhash64("id", "nth"), "id", "nth").limit(FIT_BLOCKS // 2)
+        gathered[label, half] = [bytes(r.block) for r in own.select("block").collect()]
+    halves = [Model(_dictionary(gathered[1, h]), _dictionary(gathered[0, h]), 0, 0) for h in (0, 1)]
+    sent = docs.sparkSession.sparkContext.broadcast(halves)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, raw = buffers(batch.column(batch.schema.get_field_index("text")))
+            half = batch.column(batch.schema.get_field_index("half")).to_numpy()
+            view, x = memoryview(raw), np.zeros(batch.num_rows)
+            for h in (0, 1):  # each half by the dictionaries of the other
+                own = np.flatnonzero(half == h)
+                x[own] = evidence(sent.value[1 - h], (view[at[i] : at[i + 1]] for i in own))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), batch.column(batch.schema.get_field_index("label")), pa.array(x)], names=["id", "label", "x"])
+
+    got = texts.mapInArrow(weigh, f"id {kind}, label int, x double").toPandas().sort_values("id")
+    discard(texts)
+    slope, offset = curve(got["x"].to_numpy(), got["label"].to_numpy(float))
+    model = Model(_dictionary(gathered[1, 0] + gathered[1, 1]), _dictionary(gathered[0, 0] + gathered[0, 1]), slope, offset)
+    shares = dict(known.groupBy("label").count().collect())
+    model.offset += float(np.log(shares[1] / shares[0]) - np.log(n[1] / n[0]))
+    return model
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,18 +200,8 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: floa
             x = evidence(m, (view[at[i] : at[i + 1]] for i in range(batch.num_rows)))
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(m.slope * x + m.offset, -30, 30))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
-
-
-def train_quality(docs: DataFrame, labels: DataFrame, train, rows: int = FIT_ROWS) -> Model:
-    """Fit on the sample, then move the curve from the sample's class shares to those of all training labels."""
-    sample = labelled_sample(docs, labels, "quality", train, rows, FIT_BYTES)
-    good, bad = [t for c, t in sample if c == 1], [t for c, t in sample if c == 0]
-    model = fit(good, bad)
-    shares = dict(renamed(labels, id="doc_id", label="quality").where(train).where("label in (0, 1)").groupBy("label").count().collect())
-    if model.slope and good and bad:
-        model.offset += float(np.log(shares[1] / shares[0]) - np.log(len(good) / len(bad)))
-    return model
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names of any kind come back below
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def is_training(id_col: str = "id"):
