@@ -6,7 +6,9 @@ The parser splits at the start marks, demands an end mark at the end of every pa
 elsewhere, and undoes escapes: in texts it takes one backslash out of every ``<\..\|``, in roles
 it decodes ``%0A``, ``%7C`` and ``%25``.  A turn is first rendered as it is; if the parser does not
 give back exactly that turn, its text gets a backslash into every ``<\*|`` and its role is encoded,
-which always parses back.  The results are read from the parsed conversation, not from the source.
+which always parses back.  The whole conversation is parsed again; if it does not give back all turns,
+every turn of it is escaped, and one that were still different would stop the job.  The results are
+read from the parsed conversation, not from the source.
 
 Defined cases: null text and role are empty; rows go by turn (null first), then role, then text, so
 ties and repeated rows have one order; a null conversation id is a conversation of its own; an empty
@@ -59,15 +61,19 @@ def parse(rendered: Column) -> Column:
 
 
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row a conversation: (id, formatted, turns as parsed back, source turns, round_trip)."""
+    """One row a conversation: (id, formatted, turns as parsed back, source turns, round_trip); the turns equal the source."""
     t = renamed(rows, id=conv, turn=turn, role=role, text=text)
     t = t.select("id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     plain = render(F.col("role"), F.col("text"))
     source = F.array(F.struct("role", "text"))
     t = t.withColumn("rendered", F.when(parse(plain).eqNullSafe(source), plain).otherwise(render(escape_role(F.col("role")), escape_text(F.col("text")))))
     whole = t.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "rendered"))).alias("all"))
-    whole = whole.select("id", F.array_join(F.transform("all", lambda x: x.rendered), "").alias("formatted"), F.transform("all", lambda x: F.struct(x.role.alias("role"), x.text.alias("text"))).alias("source"))
-    whole = whole.withColumn("turns", parse(F.col("formatted")))
+    joined = lambda turn: F.array_join(F.transform("all", turn), "")
+    whole = whole.select("id", "all", joined(lambda x: x.rendered).alias("first"), F.transform("all", lambda x: F.struct(x.role.alias("role"), x.text.alias("text"))).alias("source"))
+    escaped = joined(lambda x: render(escape_role(x.role), escape_text(x.text)))
+    whole = whole.select("id", F.when(parse(F.col("first")).eqNullSafe(F.col("source")), F.col("first")).otherwise(escaped).alias("formatted"), "source")
+    turns = parse(F.col("formatted"))
+    whole = whole.withColumn("turns", F.when(turns.eqNullSafe(F.col("source")), turns).otherwise(F.raise_error(F.lit("a conversation does not parse back"))))
     return whole.withColumn("round_trip", F.col("turns").eqNullSafe(F.col("source")))
 
 
