@@ -84,9 +84,10 @@ def mix(
     tokens=word_count,
     whole: bool = False,
 ) -> DataFrame:
-    """(id, source, n_tokens, weight, copies, block, place) for every row; the default budget is the corpus's tokens.
+    """(id, source, n_tokens, weight, copies, block, place, block_rank, begin) for every row; the default budget is the corpus's tokens.
 
-    With ``whole`` the budget is the least that passes over every source once, so every row has a copy.
+    The order of a source is by ``block_rank``, the block's rank in the permutation, then by place, id and tokens;
+    ``begin`` counts the tokens before the row in it, so a reader can replay the order or any part of it.  With ``whole`` the budget is the least that passes over every source once, so every row has a copy.
     """
     rows = renamed(docs, id=id_col, source=source_col, text=text_col).withColumn("n_tokens", tokens(F.col("text"))).drop("text")
     rows = materialize(rows, "mix-rows")
@@ -114,12 +115,12 @@ def mix(
     # where each block begins in its source's permuted order
     by_block = dealt.groupBy("s", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     order = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed + 2), "block"), "block")
-    begins = by_block.select(F.col("s").alias("bs"), F.col("block").alias("bb"), (F.sum("block_tokens").over(order) - F.col("block_tokens")).alias("begin"))
+    begins = by_block.select(F.col("s").alias("bs"), F.col("block").alias("bb"), (F.sum("block_tokens").over(order) - F.col("block_tokens")).alias("block_begin"), F.row_number().over(order).cast("long").alias("block_rank"))
     inside = Window.partitionBy("s", "block").orderBy("place", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     run = dealt.withColumn("upto", F.sum("n_tokens").over(inside))
     run = run.join(materialize(begins, "mix-blocks"), F.col("s").eqNullSafe(F.col("bs")) & (F.col("block") == F.col("bb")))
-    extra = (F.col("begin") + F.col("upto") <= F.col("rest") + 1e-6) & (F.col("rest") > 0)
-    return run.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "n_tokens", "weight", (F.col("full") + extra.cast("long")).alias("copies"), "block", "place")
+    extra = (F.col("block_begin") + F.col("upto") <= F.col("rest") + 1e-6) & (F.col("rest") > 0)
+    return run.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "n_tokens", "weight", (F.col("full") + extra.cast("long")).alias("copies"), "block", "place", "block_rank", (F.col("block_begin") + F.col("upto") - F.col("n_tokens")).alias("begin"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,22 @@ def test_edge_tables(spark):
     assert [r.copies for r in M.mix(odd).collect()] == [1, 1, 1]
     one = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x")], "doc_id long, text string, source string")
     assert [r.copies for r in M.mix(one).collect()] == [1, 1]
+
+
+def test_copies_against_a_replayed_order(spark, monkeypatch):
+    """Given the weights, a plain walk over each source's order takes the same rows; long, null and repeated texts too."""
+    monkeypatch.setattr(M, "BLOCK", 32)
+    df, rows = docs(spark, {"big": 900, "small": 80}, seed=9)
+    more = [(5000, "word " * 30_000, "big", 0), (5001, None, "big", 0), (5002, "a b", "small", 0), (5002, "a b", "small", 0)]
+    df = df.unionByName(spark.createDataFrame(more, df.schema))
+    got = M.mix(df, evenness=0.9, repeats=50).collect()
+    total = sum(r.n_tokens for r in got)
+    for source in ("big", "small"):
+        own = sorted((r for r in got if r.source == source), key=lambda r: (r.block_rank, r.place, r.doc_id, r.n_tokens))
+        tokens = sum(r.n_tokens for r in own)
+        passes = total * own[0].weight / tokens
+        full, walked = math.floor(passes + 1e-9), 0
+        for r in own:
+            assert r.begin == walked
+            walked += r.n_tokens
+            assert r.copies == full + int(walked <= (passes - full) * tokens + 1e-6)
