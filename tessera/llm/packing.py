@@ -123,8 +123,12 @@ def best_pattern(price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), out
 
 
-def column_generation(demand: np.ndarray, capacity: int, rounds: int = 5000) -> tuple[np.ndarray, np.ndarray]:
-    """Basic patterns (rows) and their fractional multiplicities; ``demand[s-1]`` items of size ``s``."""
+def column_generation(demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Basic patterns (rows), their fractional multiplicities and a lower bound of their sum; ``demand[s-1]`` items of size ``s``.
+
+    Runs until no pattern is worth more than one sequence.  The inverse of the basis is corrected now and then, so errors
+    do not add up; a degenerate program whose value stands still for many rounds ends with its bound.
+    """
     sizes = np.flatnonzero(demand) + 1
     m = len(sizes)
     basis = np.zeros((m, m))
@@ -132,13 +136,22 @@ def column_generation(demand: np.ndarray, capacity: int, rounds: int = 5000) ->
         basis[i, i] = capacity // s
     inverse = np.diag(1.0 / np.diag(basis))
     x = inverse @ demand[sizes - 1]
-    for _ in range(rounds):
+    product = functools.partial(np.einsum, "ij,jk->ik")  # no threads of a linear algebra library beside the driver's
+    value_at, since, n, bound = np.inf, 0, 0, 0.0
+    while True:
+        n += 1
+        if n % 64 == 0:
+            inverse = inverse + product(inverse, np.eye(m) - product(basis, inverse))  # one step of Newton's method
+            x = np.maximum(inverse @ demand[sizes - 1], 0)
+        since = 0 if x.sum() < value_at - 1e-9 * (1 + x.sum()) else since + 1
+        value_at = min(value_at, x.sum())
         duals = inverse.sum(axis=0)  # every pattern costs one sequence
         price = np.zeros(capacity)
         price[sizes - 1] = np.maximum(duals, 0)
         value, pattern = best_pattern(price, capacity)
         column = pattern[sizes - 1].astype(float)
-        if value <= 1 + 1e-7:
+        bound = max(bound, float(price[sizes - 1] @ demand[sizes - 1]) / max(1.0, value))  # the prices, scaled until no pattern is worth more than 1
+        if value <= 1 + 1e-7 or since > 20 * m + 200:
             break
         step = inverse @ column
         ok = step > 1e-9
@@ -155,7 +168,7 @@ def column_generation(demand: np.ndarray, capacity: int, rounds: int = 5000) ->
         inverse[others] -= np.outer(step[others], inverse[r])
     out = np.zeros((m, len(demand)), dtype=np.int64)
     out[:, sizes - 1] = np.rint(basis.T).astype(np.int64)
-    return out, x
+    return out, x, bound
 
 
 def plan_patterns(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -163,7 +176,7 @@ def plan_patterns(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, i
     rest, plan = demand.astype(np.int64).copy(), []
     if not rest.any():
         return plan
-    patterns, x = column_generation(rest, capacity)
+    patterns, x, _ = column_generation(rest, capacity)
     for k in np.argsort(-x, kind="stable"):
         p = patterns[k]
         times = int(min(np.floor(x[k] + 1e-9), *(rest[p > 0] // p[p > 0])))
@@ -200,7 +213,10 @@ def slots(plan: list[tuple[np.ndarray, int]], first: int) -> np.ndarray:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for every piece."""
+    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded) for every piece.
+
+    ``padded`` is the length its sequence is padded to: ``CAPACITY``, or its own where that is a power of two.
+    """
     cut = materialize(pieces(docs, id_col, text_col, tokenizer), "pack-pieces")
     counts = cut.groupBy("task", "size").agg((F.max("nth") + 1).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("size").orderBy("task")) - F.col("n")).drop("n")
@@ -225,9 +241,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     kind = dict(docs.dtypes)[id_col]
     placed = ranked.mapInArrow(place, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long")
     in_sequence = Window.partitionBy("sequence_id").orderBy("slot")  # at most CAPACITY rows each
+    total = F.sum("length").over(Window.partitionBy("sequence_id"))
     return placed.select(
         F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
         (F.sum("length").over(in_sequence) - F.col("length")).alias("offset"),
+        F.when(F.bit_count(total) == 1, total).otherwise(F.lit(CAPACITY)).cast("long").alias("padded"),
     )
 
 

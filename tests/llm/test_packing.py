@@ -23,6 +23,19 @@ def test_ids_equal_the_tokenizers_library(reference, monkeypatch):
         assert list(P.token_ids(t)) == reference.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_whole_documents_equal_the_library(reference):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    for t, want in zip(texts, reference.encode_batch([t or "" for t in texts], add_special_tokens=False), strict=True):
+        assert list(P.token_ids(t or "")) == want.ids
+
+
+def test_repeated_rows_are_packed_each(spark):
+    got = P.pack(spark.createDataFrame([(1, "a b c")] * 5, "doc_id long, text string")).collect()
+    assert len(got) == 5 and len({(r.sequence_id, r.offset) for r in got}) == 5
+
+
 def test_program_is_near_the_bound():
     rng = np.random.default_rng(0)
     demand = rng.integers(0, 400, 128)
@@ -32,8 +45,10 @@ def test_program_is_near_the_bound():
     used = sum(t for _, t in plan)
     bound = (demand @ np.arange(1, 129)) / 128
     assert used <= bound * 1.03 + 20
-    _, x = P.column_generation(np.array([0, 0, 30, 0, 30, 0, 0]), 7)  # sizes 3 and 5: 3+3 or 5
-    assert abs(x.sum() - 45) < 1e-6
+    _, x, least = P.column_generation(np.array([0, 0, 30, 0, 30, 0, 0]), 7)  # sizes 3 and 5: 3+3 or 5
+    assert abs(x.sum() - 45) < 1e-6 and abs(least - 45) < 1e-6
+    _, x, least = P.column_generation(demand, 128)
+    assert least - 1e-6 <= x.sum() <= least * (1 + 1e-6) + 1e-6
 
 
 def test_pieces_cover_everything_without_gaps(spark, reference):
@@ -51,6 +66,7 @@ def test_pieces_cover_everything_without_gaps(spark, reference):
     for _, s in got.groupby("sequence_id"):
         s = s.sort_values("offset")
         assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= P.CAPACITY
+        assert (s.padded == (s.length.sum() if s.length.sum() in (1, 2, 4, 8, 16, 32, 64, 128, 256, 512) else P.CAPACITY)).all()
     assert got.sequence_id.nunique() * P.CAPACITY <= 1.05 * sum(want) + 3 * P.CAPACITY
 
 
