@@ -31,6 +31,8 @@ SHORTEST = 14
 #: Bytes to each side whose words are looked at.
 BESIDE = 40
 TREES, DEPTH, LEAF = 40, 9, 3
+#: Labelled findings a forest is fitted on.
+FIT_FINDINGS = 20_000
 
 _RUN = np.zeros(256, dtype=bool)
 _RUN[[ord(c) for c in string.ascii_letters + string.digits + "+/_-."]] = True
@@ -164,7 +166,7 @@ def grow(x: np.ndarray, y: np.ndarray, seed: int = 9) -> Forest:
     rng = np.random.default_rng(seed)
     nodes = (1 << (DEPTH + 1)) - 1
     f, t, v = np.full((TREES, nodes), -1), np.zeros((TREES, nodes)), np.full((TREES, nodes), float(y.mean()) if len(y) else 0.5)
-    some = max(1, int(np.ceil(np.sqrt(x.shape[1]))) + 1)
+    some = min(x.shape[1], int(np.ceil(np.sqrt(x.shape[1]))) + 1)
     for k in range(TREES if len(y) else 0):
         work = [(0, rng.integers(0, len(y), len(y)), 0)]
         while work:
@@ -252,6 +254,16 @@ def train(findings: list[tuple[str, str, str, int]]) -> Forest:
     return grow(x, np.array([y for *_, y in findings], dtype=float))
 
 
+def train_on(findings: DataFrame, most: int = FIT_FINDINGS) -> Forest:
+    """The forest of a table of labelled findings (value, before, after, secret 0/1): at most ``most`` rows, chosen by a hash.
+
+    ``before`` and ``after`` are the texts beside a value; nulls are empty, rows without value or label take no part.
+    """
+    rows = findings.where("value <> '' AND secret in (0, 1)").select("value", *(F.coalesce(c, F.lit("")).alias(c) for c in ("before", "after")), F.col("secret").cast("int").alias("secret"))
+    got = rows.orderBy(F.xxhash64("value", "before", "after"), "value", "before", "after", "secret").limit(most).collect()
+    return train([tuple(r) for r in got])
+
+
 def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, length, value, score): every candidate, positions in bytes of the UTF-8 text."""
     sent = docs.sparkSession.sparkContext.broadcast(forest)

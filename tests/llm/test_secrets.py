@@ -48,3 +48,27 @@ def test_values_inside_values_stay_linear():
     text = b"auth=foo&token=bar,password=\"two words\" x"
     assert {text[b:e] for b, e in S._named(text)} >= {b"bar", b"two words"}
     assert sum(e - b for b, e in S._named(b"key=" * 50_000)) <= 1_000_000
+
+
+def test_a_labelled_table_and_findings_of_another_source(spark):
+    """Fitted on a table, judged on the documents, whose findings the table's generator did not make."""
+    rows = S.labelled_findings(1500, seed=5) + [("kept", None, None, None), (None, "a", "b", 1)]
+    forest = S.train_on(spark.createDataFrame(rows, "value string, before string, after string, secret int"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = S.scan(docs, forest).collect()
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    named = [r.score >= 0.5 for r in got if re.search(rb"token = \"$", text[r.id][: r.start])]
+    plain = [r.score < 0.5 for r in got if re.fullmatch(r"[0-9.]+", r.value)]
+    assert len(named) > 5 and np.mean(named) > 0.95 and len(plain) > 5 and np.mean(plain) > 0.95
+    again = S.scan(docs.limit(3).unionByName(docs.limit(3)), forest).groupBy("id", "start").count().collect()
+    assert all(r["count"] == 2 for r in again)
+
+
+def test_best_split_against_every_split():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(60, 1)), (rng.random(60) < 0.5).astype(float)
+    f = S.grow(x, y, seed=1)
+    rows = np.random.default_rng(1).integers(0, 60, 60)
+    gini = lambda v: len(v) * v.mean() * (1 - v.mean())
+    costs = {t: gini(y[rows][x[rows, 0] <= t]) + gini(y[rows][x[rows, 0] > t]) for t in (lambda u: (u[1:] + u[:-1]) / 2)(np.unique(x[rows, 0])) if S.LEAF <= (x[rows, 0] <= t).sum() <= 60 - S.LEAF}
+    assert abs(costs[min(costs, key=lambda t: abs(t - f.threshold[0, 0]))] - min(costs.values())) < 1e-9
