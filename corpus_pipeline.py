@@ -12,14 +12,17 @@ columns of ``documents``.
 5. pack         sequences of at most 1024 tokens
 
 Defined cases are those of the operators; besides, rows without id stay in all stages, rows that
-repeat an id are treated alike, and an empty table passes through as an empty one.
+repeat an id are treated alike, an empty table passes through as an empty one, and further columns
+of any name come along.
 
 Decisions meet the documents by sort merge joins at every size, as those of a large corpus must.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
@@ -35,21 +38,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, train_quality(docs, table(spark, sf_dir, "labels"), is_training()))
 
 
+def _beside(docs: DataFrame, **keys: Column) -> DataFrame:
+    """The rows of ``docs`` as one column ``row`` beside our own ``keys``, so none of their names can clash."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *(e.alias(n) for n, e in keys.items()))
+
+
+def _meet(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
+    left, right = left.alias("l"), right.alias("r").hint("merge")
+    return left.join(right, reduce(lambda p, q: p & q, (F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names)), how)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_sha"))
-    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    return docs.join(materialize(kept, "pipeline-exact").hint("merge"), docs.doc_id.eqNullSafe(F.col("kept_id")) & (sha == F.col("kept_sha")), "left_semi")
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha"))
+    rows = _beside(docs, id=docs["doc_id"], sha=F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256)))
+    return _meet(rows, materialize(kept, "pipeline-exact"), ["id", "sha"], "left_semi").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(materialize(kept, "pipeline-near").hint("merge"), docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = near_dedup(docs).where("kept").select(F.col("doc_id").alias("id"))
+    return _meet(_beside(docs, id=docs["doc_id"]), materialize(kept, "pipeline-near"), ["id"], "left_semi").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = mix(docs, whole=True).groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("copies"))
-    mixed = docs.join(materialize(copies, "pipeline-mix").hint("merge"), docs.doc_id.eqNullSafe(F.col("mix_id")))
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
+    copies = mix(docs, whole=True).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("n"))
+    mixed = _meet(_beside(docs, id=docs["doc_id"]), materialize(copies, "pipeline-mix"), ["id"], "inner")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
