@@ -72,3 +72,33 @@ def test_every_stage_against_brute_force(spark, corpus):
 def test_run_gives_pieces(spark, corpus):
     out = P.run(spark, corpus[0])
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0
+
+
+CLASH = ["kept_id", "kept_sha", "copies", "mix_id", "copy", "id", "sha", "n", "row", "component_id", "text_sha256", "kept", "a.b"]
+
+
+def test_clashing_columns_null_ids_and_repeats(spark, tmp_path):
+    texts = [f"the river ran past old stone houses number {i} and on to a place called {i * i}" for i in range(40)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)] + [(3, texts[3], "en", "s0", 1), (None, "a text without an id", None, None, None), (100, texts[5], "en", "s1", 2), (101, None, "en", "s1", 0)]
+    rows = [(*r, *(f"{c}{k}" for c in CLASH)) for k, r in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    columns = docs.columns
+    for name, stage in P.STAGES[:-1]:
+        docs = P.materialize(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == columns
+        got = [tuple(r) for r in docs.collect()]
+        assert set(got) <= set(rows)
+        if name == "exact":
+            assert sorted(got, key=str) == sorted((r for r in rows if r[0] != 5), key=str)  # 100 has the same text
+    assert set(got) == {r for r in rows if r[0] != 5}
+    assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(got)
+
+
+def test_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in P.STAGES:
+        docs = P.materialize(stage(spark, docs, str(tmp_path)), name)
+        assert docs.count() == 0
