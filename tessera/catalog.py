@@ -19,10 +19,12 @@ from tessera.operators.compact import compact, uncompact
 from tessera.operators.dedupe import merge_rows
 from tessera.operators.traverse import select_traversal_resolution, traverse_tableset_area_of_interest
 from tessera.plans.query import TableSetQuery
-from tessera.plans.schema import BATCH, CELL, CellPartitioning, TableEngine, TableSetSchema, TableSetSchemaBuilder, TemporalPartitioning
-from tessera.plans.scratch import materialize
-from tessera.plans.tableset import find_tablesets
+from tessera.plans.schema import BATCH, CELL, PARTITION, CellPartitioning, TableEngine, TableSetSchema, TableSetSchemaBuilder, TemporalPartitioning
+from tessera.plans.scratch import materialize, scratch_path
+from tessera.plans.tableset import find_tablesets, parse_table_name, table_name
+from tessera.sources.frame import CellFrame, ensure_wrapped
 from tessera.sources.store import CellStore, InsertOptions
+from tessera.streaming.ingest import insert_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -459,17 +461,35 @@ def dedupe_replacing(spark, d):
     return merge_rows(_keyed(spark, d).select(CELL, BATCH, "l_partkey", "l_quantity", "l_suppkey"), TableEngine("replacing"), [CELL]).select(CELL, "l_partkey", "l_suppkey", "l_quantity")
 
 
-@query(f"""
-WITH x AS (SELECT DISTINCT k, l_partkey, l_suppkey, l_quantity FROM ({_KEYED_SQL}))
-SELECT {cell_sql('k', 6)} AS h3index, sum(l_quantity) AS l_quantity FROM x GROUP BY k
-""")
+_BEST_SQL = f"""
+WITH x AS ({_KEYED_SQL}), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY b DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) AS n FROM x),
+     t AS (SELECT k, sum(l_quantity) AS total FROM (SELECT DISTINCT k, l_partkey, l_suppkey, l_quantity FROM x) GROUP BY k)
+"""
+
+
+@query(f"{_BEST_SQL} SELECT {cell_sql('k', 6)} AS h3index, l_partkey, l_suppkey, total AS l_quantity FROM o JOIN t USING (k) WHERE n = 1")
 def dedupe_summing(spark, d):
-    return merge_rows(_keyed(spark, d), TableEngine("summing", ("l_quantity",)), [CELL]).select(CELL, "l_quantity")
+    return merge_rows(_keyed(spark, d), TableEngine("summing", ("l_quantity",)), [CELL]).drop(BATCH)
 
 
-@query(f"SELECT DISTINCT {cell_sql('l_orderkey', 6)} AS h3index FROM lineitem")
+@query(f"{_BEST_SQL} SELECT {cell_sql('k', 6)} AS h3index, l_partkey, l_suppkey, l_quantity FROM o WHERE n = 1")
 def dedupe_aggregating(spark, d):
-    return merge_rows(_keyed(spark, d), TableEngine("aggregating"), [CELL]).select(CELL)
+    return merge_rows(_keyed(spark, d), TableEngine("aggregating"), [CELL]).drop(BATCH)
+
+
+@query(f"""
+SELECT {cell_sql('k', 6)} AS h3index, day, round(p, 4) AS price
+FROM (SELECT o_orderkey AS k, o_orderdate::DATE::VARCHAR AS day, max(o_totalprice) AS p FROM orders GROUP BY 1, 2)
+""")
+def dedupe_whole_schema(spark, d):
+    """The same batch twice without merging, then every table of the set is merged."""
+    o = _orders(spark, d)
+
+    def use(st, s):
+        st.deduplicate_schema(s)
+        return _rounded(st.query_tableset_cells(s.name, TableSetQuery(), o.select(CELL).distinct(), 6))
+
+    return _with_tableset(spark, _orders_schema, [o, o], use, InsertOptions(deduplicate_after_insert=False))
 
 
 @query(f"""
@@ -501,6 +521,98 @@ def partition_cells(spark, d):
     return o.select("o_orderkey", p("basecell").alias("base_cell"), p("lowerresolution", 4).alias("lower_4"), p("lowerresolution", 8).alias("lower_8"))
 
 
+# --- plain tables, frames, names and schemas ------------------------------------
+
+
+@query(f"""
+SELECT {cell_sql('c_custkey', 5)} AS h3index, CASE WHEN way > 0 THEN c_custkey END AS id, way FROM customer, range(3) t(way)
+""")
+def plain_table_inserts(spark, d):
+    """A plain table filled in three ways: a frame that lacks a column, a cell frame, a cell frame in chunks."""
+    store = CellStore(spark, DATABASE, create_db=True)
+    name = f"p{uuid.uuid4().hex[:12]}"
+    rows = read(spark, d, "customer").select(cell("c_custkey", 5).alias(CELL), F.col("c_custkey").cast("long").alias("id"))
+    store.execute(f"CREATE TABLE {name} (h3index BIGINT, id BIGINT, way BIGINT) USING parquet")
+    try:
+        store.insert_dataframe(name, rows.select(F.lit(0).alias("way"), CELL))
+        store.insert_h3dataframe(name, rows.withColumn("way", F.lit(1)))
+        store.insert_h3dataframe_chunked(name, rows.withColumn("way", F.lit(2)), 100_000)
+        return materialize(store.execute_into_h3dataframe(f"SELECT h3index, id, way FROM {name}").df, "query")
+    finally:
+        store.execute(f"DROP TABLE {name}")
+
+
+@query(f"SELECT way, {cell_sql('n_nationkey', 4)} AS h3index, n_name AS name FROM nation, (VALUES ('arrow'), ('pandas')) t(way)")
+def frame_conversions(spark, d):
+    """Out to Arrow and pandas and in again, with cells unsigned as other libraries hold them."""
+    frame = CellFrame(read(spark, d, "nation").select(cell("n_nationkey", 4).alias(CELL), F.col("n_name").alias("name"))).validate()
+    table, rows = frame.to_arrow(), frame.to_pandas()
+    table = table.set_column(0, CELL, table.column(CELL).cast("uint64"))
+    rows[CELL] = rows[CELL].astype("uint64")
+    back = [ensure_wrapped(spark, x).df.select(F.lit(way).alias("way"), CELL, "name") for way, x in (("arrow", table), ("pandas", rows))]
+    return back[0].unionByName(back[1])
+
+
+@query("""
+SELECT format('{}_{:02d}{}', lower(replace(r_name, ' ', '_')), r, k) AS name, lower(replace(r_name, ' ', '_')) AS basename, r::INTEGER AS resolution, k = '_compacted' AS compacted, k <> '' AS suffixed
+FROM region, range(16) t(r), (VALUES ('_base'), ('_compacted'), ('')) u(k)
+""")
+def table_names(spark, d):
+    """Names made of a set's name, resolution and kind, and read again; a name without suffix is a base table's."""
+    sets = [r[0] for r in read(spark, d, "region").select(F.lower(F.replace("r_name", F.lit(" "), F.lit("_")))).collect()]  # set names, not rows of a set
+    names = [table_name(s, r, k == "_compacted", None, k != "") for s in sets for r in range(16) for k in ("_base", "_compacted", "")]
+    found = [parse_table_name(n) for n in names]
+    return spark.createDataFrame([(t.name, t.basename, t.resolution, t.is_compacted, t.has_base_suffix) for t in found], "name string, basename string, resolution int, compacted boolean, suffixed boolean")
+
+
+@query("""
+SELECT k AS kind, r::INTEGER AS resolution, c AS column_name, t AS type
+FROM (SELECT 'base' AS k, unnest([4, 5, 6]) AS r UNION ALL SELECT 'compacted', unnest(range(7))) x,
+     (VALUES ('h3index', 'bigint'), ('day', 'date'), ('price', 'double'), ('_partition_cell', 'int'), ('_partition_day', 'int')) u(c, t)
+""")
+def schema_tables_created(spark, d):
+    """A schema goes through JSON; the tables that its statements make have its columns and partitions."""
+    store = CellStore(spark, DATABASE, create_db=True)
+    s = TableSetSchema.from_json_string(_orders_schema(f"j{uuid.uuid4().hex[:12]}").to_json_string())
+    store.create_tableset(s)
+    try:
+        found = store.get_tableset(s.name)
+        label = {f"{PARTITION}{c}": f"_partition_{c}" for c in ("cell", "day")}
+        rows = [("compacted" if t.is_compacted else "base", t.resolution, label.get(c, c), k) for t in found.tables for c, k in spark.table(f"`{DATABASE}`.`{t.name}`").dtypes if c != BATCH]
+    finally:
+        store.drop_tableset(s.name)
+    return spark.createDataFrame(rows, "kind string, resolution int, column_name string, type string")
+
+
+@query(f"""
+SELECT {cell_sql('event_id // 49', 3)} AS traversal_cell, count(*) AS n, max(event_id // 2500) AS v FROM events WHERE event_id // 49 IN (SELECT n_nationkey FROM nation) GROUP BY event_id // 49
+""")
+def traverse_iterated(spark, d):
+    """Cell after cell, loaded ahead by five threads, for the cells of all nations."""
+    area = read(spark, d, "nation").select(cell("n_nationkey", 3).alias(CELL))
+
+    def use(st, s):
+        t = traverse_tableset_area_of_interest(st, s.name, TableSetQuery(), area, 5, max_fetch_count=500, num_connections=5)
+        rows = [(c, x.num_rows, max(x.column("v").to_pylist())) for c, x in t]
+        return spark.createDataFrame(rows, "traversal_cell long, n long, v long")
+
+    return _stored(spark, d, _events_schema, _valued, use)
+
+
+@query(f"SELECT {cell_sql('event_id', 5)} AS h3index, max(event_id // 2500) AS v FROM events GROUP BY event_id")
+def stream_inserted(spark, d):
+    """All events as a stream, inserted by micro-batches."""
+    store, path = CellStore(spark, DATABASE, create_db=True), f"{d}/event[s].parquet"  # a pattern, as a file of its own is no stream's folder
+    s = _events_schema(f"t{uuid.uuid4().hex[:12]}")
+    e = spark.readStream.schema(read(spark, d, "events").schema).parquet(path)
+    stream = e.select(cell("event_id", 5).alias(CELL), F.call_function("div", F.col("event_id"), F.lit(2500).cast("long")).alias("v"))
+    try:
+        insert_stream(store, s, stream, scratch_path(spark, "query-stream"), availableNow=True).awaitTermination()
+        return materialize(store.query_tableset_cells(s.name, TableSetQuery(), events(spark, d).select(CELL), 5), "query")
+    finally:
+        store.drop_tableset(s.name)
+
+
 # --- raw SQL --------------------------------------------------------------------
 
 
@@ -519,6 +631,26 @@ def sql_functions(spark, d):
     return spark.sql("SELECT event_id, h3_to_parent(h3index, 3) AS parent, h3_child_count(h3_to_parent(h3index, 3), 5) AS n FROM cells_events")
 
 
+@query("""
+SELECT p_partkey, p_partkey::VARCHAR AS key_text, starts_with(p_brand, 'Brand#1') AS first_brands, w AS word FROM part, unnest(string_split(p_type, ' ')) t(w)
+""")
+def sql_scalars(spark, d):
+    store = CellStore(spark, DATABASE, create_db=True)
+    read(spark, d, "part").createOrReplaceTempView("raw_part")
+    return store.execute_into_dataframe(
+        "SELECT p_partkey, CAST(p_partkey AS STRING) AS key_text, startswith(p_brand, 'Brand#1') AS first_brands, explode(split(p_type, ' ')) AS word "
+        f"FROM raw_part WHERE current_database() = '{DATABASE}' AND version() IS NOT NULL AND from_utc_timestamp(current_timestamp(), 'UTC') IS NOT NULL"
+    )
+
+
+@query("""
+SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS statuses, count(*) AS n FROM orders GROUP BY o_custkey
+""")
+def sql_unique_values(spark, d):
+    read(spark, d, "orders").createOrReplaceTempView("raw_orders")
+    return CellStore(spark, DATABASE, create_db=True).execute_into_dataframe("SELECT o_custkey, sort_array(collect_set(o_orderstatus)) AS statuses, count(*) AS n FROM raw_orders GROUP BY o_custkey")
+
+
 # --- geometry: what SQL can say of it (published ids and invariants are in the tests) ----
 
 
