@@ -1,6 +1,7 @@
 """Secret scanning: candidates judged by a random forest.
 
-A candidate is a run of at least ``SHORTEST`` letters, digits and ``+/_-.`` that holds a digit; the value,
+A candidate is a run of at least ``shortest`` letters, digits and ``+/_-.`` that holds a digit, unless ``digitless``
+runs are asked for (then every long word is one); the value,
 of any length and any characters but spaces, after a naming word and ``=`` or ``:`` (a quoted one up to its quote,
 spaces included); and a run that begins with a known prefix.
 The forest, written in numpy, sees its length, character transitions, dictionary coverage, whether it
@@ -65,7 +66,7 @@ _PARTS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=l
 _WORD = re.compile(r"[A-Za-z_0-9]+")
 
 
-def runs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(raw: np.ndarray, at: np.ndarray, shortest: int = SHORTEST, digitless: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, begin, end) of the candidates of consecutive texts, as offsets into ``raw``."""
     lo, hi = int(at[0]), int(at[-1])
     x = raw[lo:hi]
@@ -78,7 +79,7 @@ def runs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     begins[cut], ends[cut - 1] = inside[cut], inside[cut - 1]
     b, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     digits = np.concatenate([[0], np.cumsum(_DIGIT[x])])
-    ok = (e - b >= SHORTEST) & (digits[e] > digits[b])
+    ok = (e - b >= shortest) & (digitless | (digits[e] > digits[b]))
     b, e = b[ok] + lo, e[ok] + lo
     more = []
     for t in range(len(at) - 1):
@@ -264,15 +265,18 @@ def train_on(findings: DataFrame, most: int = FIT_FINDINGS) -> Forest:
     return train([tuple(r) for r in got])
 
 
-def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, length, value, score): every candidate, positions in bytes of the UTF-8 text."""
+def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, digitless: bool = False) -> DataFrame:
+    """(id, start, length, value, score): every candidate, positions in bytes of the UTF-8 text.
+
+    ``shortest`` and ``digitless`` say which bare runs are candidates; named values and known prefixes always are.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, raw = buffers(batch.column(1))
             for i, j in text_groups(at):
-                text, b, e = runs(raw, at[i : j + 1])
+                text, b, e = runs(raw, at[i : j + 1], shortest, digitless)
                 if not len(b):
                     continue
                 text = text + i

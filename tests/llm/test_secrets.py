@@ -72,3 +72,12 @@ def test_best_split_against_every_split():
     gini = lambda v: len(v) * v.mean() * (1 - v.mean())
     costs = {t: gini(y[rows][x[rows, 0] <= t]) + gini(y[rows][x[rows, 0] > t]) for t in (lambda u: (u[1:] + u[:-1]) / 2)(np.unique(x[rows, 0])) if S.LEAF <= (x[rows, 0] <= t).sum() <= 60 - S.LEAF}
     assert abs(costs[min(costs, key=lambda t: abs(t - f.threshold[0, 0]))] - min(costs.values())) < 1e-9
+
+
+def test_bare_runs_by_length_and_without_digits(spark):
+    texts = ["plain qwertyuiop words, p4ssw0rd at a1b2 end", "https://a.b/cdefgh é1234567é"]
+    df, forest = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), S.train(S.labelled_findings())
+    for shortest, digitless in ((14, False), (8, False), (8, True), (4, False)):
+        runs = [(i, m.start(), m.end() - m.start()) for i, t in enumerate(texts) for m in re.finditer(rb"[A-Za-z0-9+/_.\-]{%d,}" % shortest, t.encode()) if digitless or re.search(rb"\d", m[0])]
+        got = S.scan(df, forest, shortest=shortest, digitless=digitless).collect()
+        assert sorted((r.id, r.start, r.length) for r in got) == sorted(runs)
