@@ -8,8 +8,10 @@ non-negative positive-unlabelled risk
 
 with the logistic loss: where the second term turns negative, its gradient is
 undone instead of followed.  The class prior is the toxic share of the training
-labels, which the rows labelled harmless enter too; nothing else is learnt from them.  Several classifiers from different bootstraps are averaged; their ridge penalty is the one with
-the least error on held-out folds of the fitting texts.
+labels, which the rows labelled harmless enter too; nothing else is learnt from
+them.  Classifiers of several ridge penalties are trained on folds of the fitting
+texts; one of the penalty with the least error on the texts left out is then trained
+on all of them.
 
 Defined cases: null and empty texts have no words and score the intercept alone;
 texts of any length count whole; repeated rows score alike; a null id is scored and
@@ -37,7 +39,7 @@ FIT_POSITIVE, FIT_UNLABELLED = 2000, 6000
 BITS, SEEN = 20, 3
 #: The ridge penalties tried on folds of the fitting texts.
 RIDGES, FOLDS = (0.01, 0.1, 1.0, 10.0), 3
-MODELS, STEPS, RATE = 3, 300, 0.1
+STEPS, RATE = 300, 0.1
 
 
 @dataclasses.dataclass
@@ -56,7 +58,12 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])[first])
+    """Sums of the runs of ``values`` that begin at ``first``, whose last entry ends them; an empty run sums to 0."""
+    out = np.zeros(len(first) - 1)
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        out[some] = np.add.reduceat(values, first[some], dtype=np.float64)
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -76,15 +83,8 @@ def fit_features(p: list[np.ndarray], u: list[np.ndarray], fold_p: np.ndarray, f
     prior = min(max(prior, 1e-3), 0.999)
     if not p or not u:
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
-    ridge = _ridge(p, u, fold_p, fold_u, prior)
-    out, offset = np.zeros(1 << BITS), 0.0
-    for m in range(MODELS):
-        rng = np.random.default_rng(m)
-        some = [[part[i] for i in rng.integers(0, len(part), len(part))] for part in (p, u)]
-        w, b = _train(p, u, *some, prior, ridge)
-        out += w / MODELS
-        offset += b / MODELS
-    return Model(out.astype(np.float32), offset)
+    w, b = _train(p, u, p, u, prior, _ridge(p, u, fold_p, fold_u, prior))
+    return Model(w.astype(np.float32), b)
 
 
 def _ridge(p: list[np.ndarray], u: list[np.ndarray], fold_p: np.ndarray, fold_u: np.ndarray, prior: float) -> float:
@@ -138,14 +138,17 @@ def _train(all_p: list[np.ndarray], all_u: list[np.ndarray], p: list[np.ndarray]
     p, u = ([x[x >= 0] for x in (index[f] for f in part)] for part in (p, u))
     cut_p, cut_u = (np.concatenate([[0], np.cumsum([len(x) for x in part])]) for part in (p, u))
     jp, ju = np.concatenate(p), np.concatenate(u)
-    both, lengths = np.concatenate([jp, ju]), np.concatenate([np.diff(cut_p), np.diff(cut_u)])
+    at_p, at_u = (np.repeat(np.arange(len(part)), [len(x) for x in part]) for part in (p, u))
+    by_word = np.argsort(np.concatenate([jp, ju]), kind="stable")
+    text_of = np.concatenate([at_p, at_u + len(p)])[by_word]  # the texts of each word, one word after the other
+    word_cut = np.searchsorted(np.concatenate([jp, ju])[by_word], np.arange(dim + 1))
     v, square = np.zeros(dim), np.full(dim, 1e-6)
     b, square_b = float(np.log(prior / (1 - prior))), 1e-6
     for _ in range(STEPS):
         w = v * scale
         zp, zu = _sums(w[jp], cut_p) + b, _sums(w[ju], cut_u) + b
         dp, du = slopes(zp, zu, prior)
-        grad = scale * np.bincount(both, weights=np.repeat(np.concatenate([dp, du]), lengths), minlength=dim) + ridge * v
+        grad = scale * _sums(np.concatenate([dp, du])[text_of], word_cut) + ridge * v
         g = dp.sum() + du.sum()
         square += grad**2
         square_b += g**2

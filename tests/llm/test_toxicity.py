@@ -102,3 +102,11 @@ def test_held_out_ranking_on_the_documents(spark):
     held = [(score[r.doc_id], r.toxic) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.toxic is not None and r.doc_id in score]
     good, bad = [s for s, y in held if y == 0], [s for s, y in held if y == 1]
     assert np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) > 0.9
+
+
+def test_sums_of_runs_against_plain_loops():
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=40).astype(np.float32)
+    first = np.concatenate([[0, 0], np.sort(rng.integers(0, 41, 12)), [40, 40]])
+    assert np.allclose(X._sums(values, first), [sum(values[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)])
+    assert X._sums(values[:0], np.array([0, 0, 0])).tolist() == [0.0, 0.0]
