@@ -14,7 +14,9 @@ each departs from it.  Links give components.  Where a key's members are in seve
 components, the most central member outside the largest one leads next, as long as such rounds
 bring components together; each round is linear.  What is then left across components is
 checked too, every pair once, under the first key it shares and only if the departures from the
-leader do not prove it too far apart.  So no link that could join components is lost, whatever
+leader do not prove it too far apart.  A join tests pairs one by one, so members of keys of more
+than ``WIDE`` classes meet in blocks instead: those of one leader once, however many keys they share,
+a block of ``BLOCK`` against another at a time in numpy.  So no link that could join components is lost, whatever
 a group's size, and rounds only save work.  Links are confirmed on full sets: hashes first, then
 the words of every common shingle as bytes.
 
@@ -42,6 +44,8 @@ from tessera.plans.scratch import discard, materialize
 CHUNKS, PER_CHUNK, BITS = 8, 4, 16
 #: Least similarity in hundredths.
 PERCENT = 75
+#: Members of larger keys meet in blocks of so many.
+WIDE, BLOCK = 32, 1024
 #: A further round of leaders must have closed this share of what was open.
 GAIN = 1 / 8
 
@@ -196,6 +200,57 @@ def may_link(u: str, v: str) -> Column:
     return (100 + PERCENT) * common >= PERCENT * (c(u, "nb") + c(v, "nb"))
 
 
+def unrefused(u: pa.StructArray, v: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of two blocks of one leader that differ in component and that ``may_link`` does not refuse."""
+    column = lambda side, name: side.field(name).to_numpy(zero_copy_only=False)
+    maps = lambda side, names: np.stack([column(side, x).view(np.uint64) for x in names])
+    bits = lambda x: np.bitwise_count(x).sum(axis=0, dtype=np.int64)
+    both = pa.concat_arrays([u.field("comp"), v.field("comp")]).dictionary_encode().indices.to_numpy()
+    cu, cv = both[: len(u)], both[len(u) :]
+    (gu, wu), (gv, wv) = ((maps(x, _GONE), maps(x, _NEW)) for x in (u, v))
+    hu, hv = column(u, "n_new") - bits(wu), column(v, "n_new") - bits(wv)
+    lack_u, lack_v = column(u, "na") - bits(gu), bits(gv)
+    nu, nv = column(u, "nb"), column(v, "nb")
+    out = []
+    for i in range(0, len(u), 64):
+        part = slice(i, i + 64)
+        shared = np.zeros((len(nu[part]), len(v)), np.int64)  # bits that both lack or have besides
+        for x, y in [*zip(gu, gv, strict=True), *zip(wu, wv, strict=True)]:
+            shared += np.bitwise_count(x[part, None] & y)
+        common = lack_u[part, None] - lack_v + shared + np.minimum(hu[part, None], hv)
+        common = np.minimum(common, np.minimum(nu[part, None], nv))
+        a, b = np.nonzero(((100 + PERCENT) * common >= PERCENT * (nu[part, None] + nv)) & (cu[part, None] != cv))
+        out.append((a + i, b))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """(a, b) of ``members`` (key, cid, comp, major and the departures from the key's leader) that may link across components."""
+    minor = F.col("comp") != F.col("major")
+    rows = members.select("key", minor.alias("minor"), "cid", F.struct("cid", "comp", "na", "nb", "n_new", *_GONE, *_NEW).alias("row"))
+    number = rows.groupBy("key", "minor").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    number = rows.join(number, ["key", "minor"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    blocks = materialize(number.groupBy("key", "minor", "block").agg(F.collect_list("row").alias("rows")), "near-blocks")
+    u, v = (blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("minor", "block"))) for side in "uv")
+    meet = u.where("minor_u").join(v, "key").where("NOT minor_v OR block_u <= block_v")
+    for side in "uv":  # all blocks of a key in one task would be its pairs in one task
+        of = blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("minor", "block", "rows")))
+        meet = meet.hint("merge").join(of, ["key", f"minor_{side}", f"block_{side}"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, two = (batch.column(c)[i].values for c in (0, 1))
+                a, b = unrefused(one, two)
+                yield pa.RecordBatch.from_arrays([one.field("cid").take(pa.array(a)), two.field("cid").take(pa.array(b))], names=["a", "b"])
+
+    kind = dict(members.dtypes)["cid"]
+    out = meet.select("rows_u", "rows_v").mapInArrow(run, f"a {kind}, b {kind}")
+    out = materialize(out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "near-block-pairs")
+    discard(blocks)
+    return out
+
+
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (id, component) after ``links`` have joined components; only components are walked."""
     of = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
@@ -236,22 +291,39 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     known = materialize(known.join(classes.select("cid", *_SIG), "cid"), "near-known")
     tried = hub.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    def opened() -> DataFrame:
-        """Members of keys that are not yet of one component, with the key's largest component and their departures from its leader."""
-        placed = materialize(members.join(labels, members.cid == labels.id).select("key", "at", "cid", "central", F.col("component").alias("comp")), "near-placed")
+    def majors(placed: DataFrame) -> DataFrame:
+        """Keys that are not yet of one component, with their largest."""
         open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         share = placed.join(open_keys, "key", "left_semi").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        major = materialize(share.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major")), "near-major")
+        return materialize(share.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major")), "near-major")
+
+    def opened() -> DataFrame:
+        """Members of keys that are not yet of one component, with the key's largest component and their departures from its leader.
+
+        Of two members one leads, so they have been compared.
+        """
+        placed = materialize(members.where("m > 2").join(labels, members.cid == labels.id).select("key", "at", "m", "cid", "central", F.col("component").alias("comp")), "near-placed")
+        major = majors(placed)
         found = placed.join(major, "key").join(leaders, "key")
-        out = materialize(found.join(known, ["lead", "cid"]).drop("lead"), "near-open")
+        out = materialize(found.join(known, ["lead", "cid"]), "near-open")
         discard(placed, major)
         return out
 
+    def wide() -> DataFrame:
+        """Members of wide keys, once for each leader, as members of a key."""
+        held = materialize(now.where(F.col("m") > WIDE).select(F.col("lead").alias("key"), "cid", "comp").distinct(), "near-wide")
+        major = majors(held)
+        out = materialize(held.join(major, "key").join(known.withColumnRenamed("lead", "key"), ["key", "cid"]), "near-wide-open")
+        discard(held, major)
+        return out
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "near-across")
+
     def across(u: DataFrame, v: DataFrame, *more: Column) -> DataFrame:
-        """Pairs of different components that may link and were not compared yet."""
+        """Pairs of different components that may link."""
         met = u.alias("u").join(v.alias("v"), reduce(lambda p, q: p & q, more, (F.col("u.key") == F.col("v.key")) & (F.col("u.comp") != F.col("v.comp")) & may_link("u", "v")))
-        met = met.select(F.least("u.cid", "v.cid").alias("a"), F.greatest("u.cid", "v.cid").alias("b"))
-        return materialize(met.distinct().join(tried, ["a", "b"], "left_anti"), "near-across")
+        return met.select(F.least("u.cid", "v.cid").alias("a"), F.greatest("u.cid", "v.cid").alias("b"))
 
     now, last = opened(), None
     while True:
@@ -261,7 +333,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             break
         last = size
         next_lead = minor.groupBy("key").agg(F.max_by("cid", "central").alias("cid"))
-        pairs = across(minor.join(materialize(next_lead, "near-next"), ["key", "cid"], "left_semi"), now)
+        pairs = untried(across(minor.join(materialize(next_lead, "near-next"), ["key", "cid"], "left_semi"), now))
         linked = materialize(compared(texts, pairs).select("a", "b", "link"), "near-round")
         tried = tried.unionByName(linked.select("a", "b"))
         labels = _relabelled(labels, linked.where("link").select("a", "b"))
@@ -270,7 +342,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if size:
         # a pair shows up under the first key it shares, and from one side only
         once = ((F.col("v.comp") == F.col("u.major")) | (F.col("u.cid") < F.col("v.cid"))) & first_shared("u", "v", "u.at")
-        linked = compared(texts, across(now.where("comp <> major"), now, once)).where("link").select("a", "b")
+        narrow, large = now.where(F.col("m") <= WIDE), wide()
+        pairs = untried(across(narrow.where("comp <> major"), narrow, once).unionByName(block_pairs(large)))
+        discard(large)
+        linked = materialize(compared(texts, pairs).where("link").select("a", "b"), "near-last")
         labels = _relabelled(labels, linked)
 
     home = classes.join(labels, classes.cid == labels.id, "left").select("n", "h1", "h2", F.coalesce("component", "cid").alias("comp"))

@@ -149,3 +149,65 @@ def test_first_shared_key(spark):
     for i, last in got:
         shared = [4 * c + k for c in range(8) for k in range(4) if all(a[i, 4 * c + j] == b[i, 4 * c + j] for j in range(4) if j != k)]
         assert last == (shared[0] if shared else 31)
+
+
+def around_a_passage(r, texts, own):
+    """Texts that share one passage and little else, some of them with a close copy."""
+    v = [f"w{i}" for i in range(5000)]
+    passage = [r.choice(v) for _ in range(20)]
+    out = [passage]
+    while len(out) < texts:
+        out.append(passage + [r.choice(v) for _ in range(r.randint(6, own))])
+        if r.random() < 0.2:
+            out.append([*out[-1], r.choice(v)])
+    return [(i, " ".join(t)) for i, t in enumerate(out)]
+
+
+def test_members_of_wide_keys_meet_in_blocks(spark, monkeypatch):
+    """Of the pairs around one passage few are left to compare, though the join's own test refuses none here."""
+    rows = around_a_passage(random.Random(6), 300, 12)
+    seen, compared = [], M.compared
+
+    def counted(texts, pairs):
+        seen.append(pairs.count())
+        return compared(texts, pairs)
+
+    monkeypatch.setattr(M, "compared", counted)
+    monkeypatch.setattr(M, "may_link", lambda u, v: M.F.lit(True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, M.near_dedup(docs).collect())) == brute(rows)
+    assert sum(seen) < 20 * len(rows)
+
+
+def test_many_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "WIDE", 3)
+    monkeypatch.setattr(M, "BLOCK", 7)
+    r = random.Random(7)
+    texts = [t for _, t in around_a_passage(r, 80, 30)]
+    v = [f"v{i}" for i in range(3000)]
+    base = [r.choice(v) for _ in range(120)]
+    for n in (4, 5, 6, 7):
+        for _ in range(8):
+            far = list(base)
+            for i in r.sample(range(120), n):
+                far[i] = r.choice(v)
+            texts += [" ".join(far), " ".join([*far, r.choice(v)])]
+    rows = [(f"id{i}", t) for i, t in enumerate([" ".join(base), *texts])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    assert sorted(map(tuple, M.near_dedup(docs).collect())) == brute(rows)
+
+
+def test_blocks_refuse_what_the_join_refuses(spark):
+    r = np.random.default_rng(9)
+    rows = []
+    for i in range(90):
+        gone, new = r.integers(0, 1 << 62, 8) & r.integers(0, 1 << 62, 8) & r.integers(0, 1 << 62, 8), r.integers(0, 1 << 62, 8) & r.integers(0, 1 << 62, 8)
+        rows.append((i, i % 40, 400, int(r.integers(380, 500)), int(r.integers(150, 260)), *map(int, gone), *map(int, new)))
+    names = ["cid", "comp", "na", "nb", "n_new", *M._GONE, *M._NEW]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+    u, v = frame.where("cid < 70").alias("u"), frame.where("cid >= 20").alias("v")
+    want = {tuple(x) for x in u.join(v, M.may_link("u", "v") & M.F.expr("u.comp <> v.comp")).select("u.cid", "v.cid").collect()}
+    block = M.pa.array([dict(zip(names, x, strict=True)) for x in rows])
+    a, b = M.unrefused(block[:70], block[20:])
+    assert {(i, j + 20) for i, j in zip(a.tolist(), b.tolist(), strict=True)} == want
+    assert 100 < len(want) < 3000
